@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import split
+from deskmill.llm import leak, split
 from deskmill.session import table
 
 
@@ -19,7 +19,17 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.distinct_pieces(pieces).withColumnRenamed("id", "parent_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts each item leaked into and its longest leaked passage."""
+    found = leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("words").alias("longest_words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p8_found, p8_report)}
 
 SQL = {
     "p1_found": r"""
@@ -29,4 +39,11 @@ SQL = {
         FROM rag_docs r JOIN split_limits l USING (source_type)
         WHERE length(r.page_content) > l.max_chars
     """,
+    "p8_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+             e AS (SELECT item_id, regexp_extract_all(replace(lower(question), 'ё', 'е'), '[\p{L}\p{N}]+') AS w FROM eval_items),
+             dg AS (SELECT DISTINCT doc_id, w[p:p + 12] AS g FROM d, unnest(range(1, len(w) - 11)) AS t(p) WHERE len(w) >= 13),
+             eg AS (SELECT DISTINCT item_id, w[p:p + 12] AS g FROM e, unnest(range(1, len(w) - 11)) AS t(p) WHERE len(w) >= 13)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
+    """,
 }
