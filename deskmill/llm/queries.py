@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import leak, split
+from deskmill.llm import leak, sentences, split
 from deskmill.session import table
 
 
@@ -29,12 +29,23 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("words").alias("longest_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p8_found, p8_report)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents")).select("doc_id", "end_pos")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of each kind and their lengths, by language as labelled."""
+    docs = table(spark, sf_dir, "documents")
+    units = sentences.sentences(docs).join(docs.select("doc_id", F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit("?")).alias("lang")), "doc_id")
+    return units.groupBy("lang", "kind").agg(F.count("*").alias("units"), F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p8_found, p8_report, p9_found, p9_profile)}
 
 SQL = {
     "p1_found": r"""
         SELECT DISTINCT r.parent_id,
-               CASE WHEN list_max(list_transform(regexp_split_to_array(r.page_content, '[\s\x0b\x1c-\x1f\x{85}\p{Z}。！？]'), x -> length(x))) > l.max_chars
+               CASE WHEN list_max(list_transform(regexp_split_to_array(r.page_content, '[\s\x0b\x1c-\x1f\x{85}\p{Z}。！？]'), lambda x: length(x))) > l.max_chars
                     THEN 'hard' ELSE 'soft' END AS kind
         FROM rag_docs r JOIN split_limits l USING (source_type)
         WHERE length(r.page_content) > l.max_chars
