@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import leak, sentences, split
+from deskmill.llm import leak, sentences, split, tokens
 from deskmill.session import table
 
 
@@ -19,6 +19,18 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.distinct_pieces(pieces).withColumnRenamed("id", "parent_id")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def p7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids per code point by language as labelled."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit("?")).alias("lang"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    both = tokens.encode(docs).select("doc_id", F.size("ids").alias("n")).join(sizes, "doc_id")
+    return both.groupBy("lang").agg(F.sum("n").alias("ids"), F.sum("chars").alias("chars"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -40,7 +52,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.groupBy("lang", "kind").agg(F.count("*").alias("units"), F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p8_found, p8_report, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_ids, p7_fertility, p8_found, p8_report, p9_found, p9_profile)}
 
 SQL = {
     "p1_found": r"""
