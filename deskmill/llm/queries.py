@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import leak, mail, sentences, split, tokens
+from deskmill.llm import leak, mail, pii, sentences, split, tokens
 from deskmill.session import table
 
 
@@ -19,6 +19,18 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.distinct_pieces(pieces).withColumnRenamed("id", "parent_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments = pii.types_found(table(spark, sf_dir, "ticket_comments"), "comment_id", "text").select(F.lit("comment").alias("src"), "rec_id", "pii_type")
+    requests = pii.types_found(table(spark, sf_dir, "ticket_requests"), "request_id", "text").select(F.lit("request").alias("src"), "rec_id", "pii_type")
+    return comments.unionByName(requests)
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments = pii.masked(table(spark, sf_dir, "ticket_comments"), "comment_id", "text", "loaded_at").select(F.lit("comment").alias("src"), "rec_id", "masked_text")
+    requests = pii.masked(table(spark, sf_dir, "ticket_requests"), "request_id", "text", "loaded_at").select(F.lit("request").alias("src"), "rec_id", "masked_text")
+    return comments.unionByName(requests)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.marked_lines(table(spark, sf_dir, "ticket_comments"), "comment_id", "text").select(F.col("id").alias("comment_id"), "line_no")
 
@@ -60,7 +72,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.groupBy("lang", "kind").agg(F.count("*").alias("units"), F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_new_text, p7_ids, p7_fertility, p8_found, p8_report, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_masked, p5_found, p5_new_text, p7_ids, p7_fertility, p8_found, p8_report, p9_found, p9_profile)}
 
 SQL = {
     "p1_found": r"""
