@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import leak, mail, pii, sentences, split, tokens
+from deskmill.llm import leak, mail, pairs, pii, sentences, split, tokens
 from deskmill.session import table
 
 
@@ -31,6 +31,15 @@ def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments.unionByName(requests)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "similar_tickets"))
+
+
+def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of pairs of each defect."""
+    return pairs.defects(table(spark, sf_dir, "similar_tickets")).groupBy("defect").agg(F.count("*").alias("n_pairs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.marked_lines(table(spark, sf_dir, "ticket_comments"), "comment_id", "text").select(F.col("id").alias("comment_id"), "line_no")
 
@@ -72,7 +81,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.groupBy("lang", "kind").agg(F.count("*").alias("units"), F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_masked, p5_found, p5_new_text, p7_ids, p7_fertility, p8_found, p8_report, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_masked, p4_found, p4_profile, p5_found, p5_new_text, p7_ids, p7_fertility, p8_found, p8_report, p9_found, p9_profile)}
 
 SQL = {
     "p1_found": r"""
