@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import leak, mail, pairs, pii, sentences, split, tokens
+from deskmill.llm import leak, mail, neardup, pairs, pii, sentences, split, tokens
 from deskmill.session import table
 
 
@@ -19,6 +19,21 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.distinct_pieces(pieces).withColumnRenamed("id", "parent_id")
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "rag_docs").select(F.lit("page").alias("src"), F.col("parent_id").alias("id"), F.col("page_content").alias("text"))
+    problems = table(spark, sf_dir, "similar_tickets").select(F.lit("problem").alias("src"), F.col("pair_id").alias("id"), F.col("problem_summary").alias("text"))
+    return pages.unionByName(problems)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.record_pairs(_records(spark, sf_dir), k=3, threshold=0.5)
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with its class at the usual setting: five words, similarity of 0.8."""
+    return neardup.classes(_records(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     comments = pii.types_found(table(spark, sf_dir, "ticket_comments"), "comment_id", "text").select(F.lit("comment").alias("src"), "rec_id", "pii_type")
     requests = pii.types_found(table(spark, sf_dir, "ticket_requests"), "request_id", "text").select(F.lit("request").alias("src"), "rec_id", "pii_type")
@@ -81,7 +96,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.groupBy("lang", "kind").agg(F.count("*").alias("units"), F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_masked, p4_found, p4_profile, p5_found, p5_new_text, p7_ids, p7_fertility, p8_found, p8_report, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_masked, p4_found, p4_profile, p5_found, p5_new_text, p7_ids, p7_fertility, p8_found, p8_report, p9_found, p9_profile)}
 
 SQL = {
     "p1_found": r"""
@@ -98,4 +113,14 @@ SQL = {
              eg AS (SELECT DISTINCT item_id, w[p:p + 12] AS g FROM e, unnest(range(1, len(w) - 11)) AS t(p) WHERE len(w) >= 13)
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
     """,
+    "p2_found": r"""
+        WITH r AS (SELECT DISTINCT 'page' AS src, parent_id AS id, page_content AS t FROM rag_docs
+                   UNION SELECT 'problem', pair_id, problem_summary FROM similar_tickets),
+             w AS (SELECT src, id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM r WHERE t IS NOT NULL),
+             s AS (SELECT DISTINCT src, id, w[p:p + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS t(p) WHERE len(w) >= 3),
+             n AS (SELECT src, id, count(*) AS n FROM s GROUP BY ALL),
+             c AS (SELECT a.src, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.src = b.src AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+        SELECT c.src, id_a, id_b FROM c JOIN n x ON x.src = c.src AND x.id = id_a JOIN n y ON y.src = c.src AND y.id = id_b
+        WHERE 2 * c >= x.n + y.n - c
+    """,
 }
