@@ -36,7 +36,7 @@ from deskmill.llm import words as W
 from deskmill.session import materialise
 
 GROUP, SHARED, BITS, PARTS, MAX_IDS = 32, 3, 23, 32, 50_000
-INDEX_BITS = 25
+INDEX_BITS = 24
 _TOKEN_BITS = np.uint64(40)
 
 SETS = "src STRING, gkey BIGINT, cls BINARY, n INT, ids ARRAY<BIGINT>, toks BINARY"
@@ -146,15 +146,16 @@ def _counted(groups: DataFrame, pick, bits: int) -> np.ndarray:
     step = size // PARTS
 
     def count(batches):
-        total = np.zeros(size, dtype=np.uint32)
+        total = np.zeros(size, dtype=np.uint16)
         for batch in batches:
             at, n = np.unique(pick(batch) & mask, return_counts=True)
-            total[at.astype(np.int64)] += n.astype(np.uint32)
+            at = at.astype(np.int64)
+            total[at] = np.minimum(total[at].astype(np.int64) + n, 65_535)
         lane = TaskContext.get().partitionId() % 64
-        codes = _code(total)
-        rows = [(p, lane, zlib.compress(codes[p * step : (p + 1) * step].tobytes(), 1)) for p in range(PARTS) if codes[p * step : (p + 1) * step].any()]
-        if rows:
-            yield pd.DataFrame(rows, columns=["part", "lane", "codes"])
+        for p in range(PARTS):
+            piece = total[p * step : (p + 1) * step]
+            if piece.any():
+                yield pd.DataFrame([(p, lane, zlib.compress(_code(piece).tobytes(), 1))], columns=["part", "lane", "codes"])
 
     def add(pdf):
         total = np.zeros(step, dtype=np.float64)
