@@ -2,7 +2,7 @@
 
 1. *Tokens.* A text's tokens are its sequences of ``k`` words, hashed to 40 bits and salted by source, so that several
    tables share one run. Copies within a batch are folded into one member that lists its records.
-2. *Groups.* Members with the same least token under a hash (likely for similar texts) are brought together and cut
+2. *Groups.* Members with the same least tokens under a few hashes (likely for similar texts) are brought together and cut
    into groups of at most ``GROUP`` members; a frequent key is split by the engine's skew handling, since any grouping
    gives the same result. A group is stored with its members' token sets.
 3. *Matrix.* A sketch of fixed size counts over all texts how many members hold a token. Ordered from rare to
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from deskmill.llm import words as W
 from deskmill.session import materialise
 
-GROUP, SHARED, BITS, PARTS, MAX_IDS = 32, 3, 23, 32, 50_000
+GROUP, SHARED, BITS, DEPTH, PARTS, MAX_IDS = 32, 3, 24, 2, 32, 50_000
 INDEX_BITS = 24
+#: Hashes whose least tokens make up a group's key: texts that only share boilerplate rarely agree in all of them.
+KEY_HASHES = 3
 _TOKEN_BITS = np.uint64(40)
 
 SETS = "src STRING, gkey BIGINT, cls BINARY, n INT, ids ARRAY<BIGINT>, toks BINARY"
@@ -78,12 +80,12 @@ def _sets(records: DataFrame, k: int) -> DataFrame:
                 ids = rows["id"].to_numpy()
                 for a in range(0, len(rows), 4000):
                     tokens, at = token_sets(list(rows["text"].iloc[a : a + 4000]), k, xxhash.xxh3_64_intdigest(str(src)) >> 1)
-                    least = _scramble(tokens)
+                    least = [_scramble(tokens ^ np.uint64(h << 41)) for h in range(KEY_HASHES)]
                     seen: dict[bytes, list] = {}
                     for i, (p, q) in enumerate(zip(at, at[1:])):
                         if p < q:
                             blob = pack(tokens[p:q])
-                            member = seen.setdefault(xxhash.xxh3_128_digest(blob), [int(least[p:q].min().view(np.int64)), int(q - p), blob, []])
+                            member = seen.setdefault(xxhash.xxh3_128_digest(blob), [xxhash.xxh3_64_intdigest(b"".join(x[p:q].min().tobytes() for x in least)) - (1 << 63), int(q - p), blob, []])
                             member[3].append(int(ids[a + i]))
                     if seen:
                         yield pd.DataFrame([(src, g, c, n, x, b) for c, (g, n, b, x) in seen.items()], columns=["src", "gkey", "cls", "n", "ids", "toks"])
@@ -140,22 +142,25 @@ def _members(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return (np.concatenate(tokens) if tokens else np.empty(0, np.uint64)), np.repeat(np.arange(len(sizes_)), sizes_), sizes_, np.array(rows, dtype=np.int64)
 
 
-def _counted(groups: DataFrame, pick, bits: int) -> np.ndarray:
-    """Saturated counts of the picked tokens by hash, over all groups: 2 ** bits bytes, whatever the corpus' size."""
-    size, mask = 1 << bits, np.uint64((1 << bits) - 1)
-    step = size // PARTS
+def _slots(tokens: np.ndarray, bits: int, row: int) -> np.ndarray:
+    return (_scramble(tokens ^ np.uint64((row + 7) << 48)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _counted(groups: DataFrame, pick, bits: int, depth: int = 1) -> np.ndarray:
+    """Saturated counts of the picked tokens over all groups by ``depth`` hashes: depth * 2 ** bits bytes, whatever the corpus' size."""
+    step = (1 << bits) // PARTS
 
     def count(batches):
-        total = np.zeros(size, dtype=np.uint16)
+        total = np.zeros((depth, 1 << bits), dtype=np.uint16)
         for batch in batches:
-            at, n = np.unique(pick(batch) & mask, return_counts=True)
-            at = at.astype(np.int64)
-            total[at] = np.minimum(total[at].astype(np.int64) + n, 65_535)
+            tokens = pick(batch)
+            for row in range(depth):
+                at, n = np.unique(_slots(tokens, bits, row), return_counts=True)
+                total[row, at] = np.minimum(total[row, at].astype(np.int64) + n, 65_535)
         lane = TaskContext.get().partitionId() % 64
-        for p in range(PARTS):
-            piece = total[p * step : (p + 1) * step]
+        for part, piece in enumerate(total.reshape(depth * PARTS, step)):
             if piece.any():
-                yield pd.DataFrame([(p, lane, zlib.compress(_code(piece).tobytes(), 1))], columns=["part", "lane", "codes"])
+                yield pd.DataFrame([(part, lane, zlib.compress(_code(piece).tobytes(), 1))], columns=["part", "lane", "codes"])
 
     def add(pdf):
         total = np.zeros(step, dtype=np.float64)
@@ -165,9 +170,18 @@ def _counted(groups: DataFrame, pick, bits: int) -> np.ndarray:
 
     kind = "part INT, lane INT, codes BINARY"
     lanes = groups.mapInPandas(count, kind).groupBy("part", "lane").applyInPandas(add, kind)
-    out = np.zeros(size, dtype=np.uint8)
+    out = np.zeros((depth * PARTS, step), dtype=np.uint8)
     for row in lanes.groupBy("part").applyInPandas(add, kind).collect():
-        out[row.part * step : (row.part + 1) * step] = np.frombuffer(zlib.decompress(row.codes), np.uint8)
+        out[row.part] = np.frombuffer(zlib.decompress(row.codes), np.uint8)
+    return out.reshape(depth, 1 << bits)
+
+
+def _held(codes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The sketch's count of each token: never less than the true one (up to saturation)."""
+    bits = codes.shape[1].bit_length() - 1
+    out = codes[0][_slots(tokens, bits, 0)]
+    for row in range(1, len(codes)):
+        out = np.minimum(out, codes[row][_slots(tokens, bits, row)])
     return out
 
 
@@ -185,7 +199,7 @@ def _value(codes: np.ndarray) -> np.ndarray:
 def _prefixes(batch: pd.DataFrame, codes: np.ndarray, threshold: float):
     """(token, group row, member size, tokens from here on, in the index prefix) of each probe prefix token worth a row."""
     tokens, member, sizes, rows = _members(batch)
-    df = codes[(tokens & np.uint64(len(codes) - 1)).astype(np.int64)]
+    df = _held(codes, tokens)
     order = np.lexsort((tokens, df, member))
     tokens, df = tokens[order], df[order]
     n = sizes[member]
@@ -205,7 +219,7 @@ def _matrix(groups: DataFrame, codes, indexed, threshold: float) -> DataFrame:
             tokens, row, n, rest, index = _prefixes(batch, df, threshold)
             gid = batch["gid"].to_numpy()
             for role in (1, 0):
-                use = index if role else known[(tokens & np.uint64(len(known) - 1)).astype(np.int64)] > 0
+                use = index if role else _held(known, tokens) > 0
                 t, r, m, s = tokens[use], row[use], n[use], rest[use]
                 if not len(t):
                     continue
@@ -244,7 +258,7 @@ PAIRS = "a BIGINT, b BIGINT, similarity DOUBLE"
 def member_pairs(groups: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of all pairs of members over the threshold; a member is gid * GROUP + its place."""
     sc = groups.sparkSession.sparkContext
-    codes = sc.broadcast(_counted(groups.select("sizes", "toks"), lambda batch: _members(batch)[0], BITS))
+    codes = sc.broadcast(_counted(groups.select("sizes", "toks"), lambda batch: _members(batch)[0], BITS, DEPTH))
 
     def index_tokens(batch):
         tokens, _, _, _, index = _prefixes(batch, codes.value, threshold)
