@@ -211,27 +211,29 @@ def _prefixes(batch: pd.DataFrame, codes: np.ndarray, threshold: float):
 
 
 def _matrix(groups: DataFrame, codes, indexed, threshold: float) -> DataFrame:
-    """Rows (tok, gid, role, lo, hi, rest) of the union of each group's prefixes; role 1 index, 0 probe."""
+    """Rows (tok, gid, idx, lo, hi, rest) of the union of each group's prefixes; ``idx`` where an index prefix holds the token.
+
+    The index prefix is a part of the probe prefix, so that one row serves both sides of the join and the rows are
+    shuffled once.
+    """
 
     def run(batches):
         df, known = codes.value, indexed.value
         for batch in batches:
             tokens, row, n, rest, index = _prefixes(batch, df, threshold)
-            gid = batch["gid"].to_numpy()
-            for role in (1, 0):
-                use = index if role else _held(known, tokens) > 0
-                t, r, m, s = tokens[use], row[use], n[use], rest[use]
-                if not len(t):
-                    continue
-                order = np.lexsort((t, r))
-                t, r, m, s = t[order], r[order], m[order], s[order]
-                first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (r[1:] != r[:-1])]))
-                yield pd.DataFrame({
-                    "tok": t[first].view(np.int64), "gid": gid[r[first]], "role": np.full(len(first), role, np.int32), "lo": np.minimum.reduceat(m, first).astype(np.int32),
-                    "hi": np.maximum.reduceat(m, first).astype(np.int32), "rest": np.maximum.reduceat(s, first).astype(np.int32),
-                })
+            use = index | (_held(known, tokens) > 0)
+            t, r, m, s, x = tokens[use], row[use], n[use], rest[use], index[use]
+            if not len(t):
+                continue
+            order = np.lexsort((t, r))
+            t, r, m, s, x = t[order], r[order], m[order], s[order], x[order]
+            first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (r[1:] != r[:-1])]))
+            yield pd.DataFrame({
+                "tok": t[first].view(np.int64), "gid": batch["gid"].to_numpy()[r[first]], "idx": np.logical_or.reduceat(x, first), "lo": np.minimum.reduceat(m, first).astype(np.int32),
+                "hi": np.maximum.reduceat(m, first).astype(np.int32), "rest": np.maximum.reduceat(s, first).astype(np.int32),
+            })
 
-    return groups.select("gid", "sizes", "toks").mapInPandas(run, "tok BIGINT, gid BIGINT, role INT, lo INT, hi INT, rest INT")
+    return groups.select("gid", "sizes", "toks").mapInPandas(run, "tok BIGINT, gid BIGINT, idx BOOLEAN, lo INT, hi INT, rest INT")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
@@ -266,12 +268,16 @@ def member_pairs(groups: DataFrame, threshold: float) -> DataFrame:
 
     indexed = sc.broadcast(_counted(groups.select("sizes", "toks"), index_tokens, INDEX_BITS))
     rows = _matrix(groups, codes, indexed, threshold)
-    i, p = rows.filter("role = 1").drop("role").alias("i"), rows.filter("role = 0").drop("role").alias("p")
-    ratio = threshold / (1 + threshold)
-    met = i.join(p, (F.col("i.tok") == F.col("p.tok")) & (F.col("i.gid") != F.col("p.gid")) & (F.col("p.hi") >= F.col("i.lo")) & (F.col("i.hi") >= threshold * F.col("p.lo") - 1e-9))
-    bound = F.ceil(ratio * (F.min("i.lo") + F.min("p.lo")) - 1e-9)
-    shared = met.groupBy(F.col("i.gid").alias("g"), F.col("p.gid").alias("h")).agg(F.count("*").alias("n"), F.max(F.least("i.rest", "p.rest")).alias("rest"), bound.alias("bound"))
-    qualified = shared.filter((F.col("n") >= F.least(F.lit(SHARED), F.col("bound"))) & (F.col("rest") >= F.col("bound"))).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
+    x, y = rows.alias("x"), rows.alias("y")
+
+    def fits(short: str, long: str):
+        # the shorter text has the token in its index prefix; sizes must allow the threshold
+        return F.col(f"{short}.idx") & (F.col(f"{long}.hi") >= F.col(f"{short}.lo")) & (F.col(f"{short}.hi") >= threshold * F.col(f"{long}.lo") - 1e-9)
+
+    met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.gid") < F.col("y.gid")) & (fits("x", "y") | fits("y", "x")))
+    bound = F.ceil(threshold / (1 + threshold) * (F.min("x.lo") + F.min("y.lo")) - 1e-9)
+    shared = met.groupBy(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).agg(F.count("*").alias("n"), F.max(F.least("x.rest", "y.rest")).alias("rest"), bound.alias("bound"))
+    qualified = shared.filter((F.col("n") >= F.least(F.lit(SHARED), F.col("bound"))) & (F.col("rest") >= F.col("bound"))).select("g", "h")
     qualified = materialise(qualified, "group-pairs")
 
     def within(batches):
