@@ -145,7 +145,7 @@ def function_blocks(c: Column | str) -> Column:
 def callouts(c: Column | str) -> Column:
     """Attention lines and icon glyphs to warning markup; at most one blank line in a row."""
     c = F.regexp_replace(col(c), r"(?imu)^(внимание|важно)!!!?", "> ⚠️ **$1:**")
-    c = F.replace(F.replace(c, F.lit(""), F.lit("> ℹ️ **ИНФОРМАЦИЯ:**\n> ")), F.lit(""), F.lit("> ⚠️ **ВНИМАНИЕ:**\n> "))
+    c = F.replace(F.replace(c, F.lit("\uf05a"), F.lit("> ℹ️ **ИНФОРМАЦИЯ:**\n> ")), F.lit("\uf071"), F.lit("> ⚠️ **ВНИМАНИЕ:**\n> "))
     return F.regexp_replace(c, r"\n{3,}", "\n\n")
 
 

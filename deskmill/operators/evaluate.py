@@ -55,7 +55,7 @@ def cascade(rows: DataFrame, answer: str, reference: str, similarity: Column | N
 
 
 def statistics(judged: DataFrame, file: str = "file") -> DataFrame:
-    """Counts and accuracy of each file, and of all as file null: skipped rows don't count, errors do."""
+    """Counts and accuracy of each file, and of all as file null: skipped rows don't count, errors do; none without rows."""
     is_ = lambda v: F.count_if(F.col("verdict") == v)
     rows = judged.rollup(file).agg(F.count_if(F.col("verdict") != SKIPPED).alias("total"), is_(YES).alias("correct"), is_(NO).alias("incorrect"), is_(ERROR).alias("errors"), is_(SKIPPED).alias("skipped"), F.grouping(file).cast("int").alias("all_files"))
     accuracy = F.when(F.col("total") > 0, F.round(F.col("correct") / F.col("total") * 100, 1)).otherwise(0.0)

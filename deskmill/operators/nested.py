@@ -30,7 +30,7 @@ TABLE_SCHEMAS = {
     "attachment": "name STRING, size STRING, mime STRING, pages INT",
 }
 
-_LEADING = "﻿​⁠\x00 \t\r\n\x0b\x0c\x85\xa0"
+_LEADING = "\ufeff\u200b\u2060\x00 \t\r\n\x0b\x0c\x85\xa0"
 _ATOM = re.compile(r"[ \t\r\n]*(?:([{}\[\],:])|(\")|(-?\d[\d.eE+-]*|true|false|null|NaN|-?Infinity))")
 
 
