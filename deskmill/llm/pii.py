@@ -102,7 +102,7 @@ _PHONE = re.compile(
     r"|(?P<local>0\d{2,4}[ /-]\d{3,8}(?:[ -]\d{2,5})?)"
     r")(?:,?\s*(?:доб|ext|Durchwahl)\.?\s*\d{1,5})?(?![\w-])(?!\.\d)"
 )
-_PHONE_CUE = re.compile(r"(?:тел|моб|сот|факс|звон|номеру|наберите|whatsapp|phone|tel|cell|mob|call|dial|fax|ring|urgent|ruf|handy|durchwahl|срочно)[^\n\d]{0,24}$", re.I)
+_PHONE_CUE = re.compile(r"(?:тел|моб|сот|факс|звон|номеру|наберите|whatsapp|phone|tel|cell|mob|call|dial|fax|ring|urgent|ruf|handy|durchwahl|срочно|\bm:)[^\n\d]{0,24}$", re.I)
 _NOT_PHONE = re.compile(r"(?:сер(?:ийн)?|завод|зав\.|инв|заказ|счётчик|счетчик|сборка|верси|serial|order|counter|invent|build|version|auftrag|zähler|№|port|порт|канал|код|code)[^\n\d]{0,18}$", re.I)
 
 _ID = re.compile(
