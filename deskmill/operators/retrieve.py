@@ -7,6 +7,8 @@ anything is ranked globally. Texts are left out of scoring plans and joined for
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,24 +22,85 @@ from deskmill.models import lexical_coverage
 from deskmill.operators.common import top_k
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, groups: tuple[str, ...] = (), k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """(query_id, *groups, doc_id, score, rank): Okapi BM25 over ``corpus`` (doc_id, *groups, text), ``queries`` (query_id, text).
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None, k1: float = BM25_K1, b: float = BM25_B, block: int = 1024) -> DataFrame:
+    """(query_id, [group,] doc_id, score, rank): Okapi BM25 of ``queries`` (query_id, text) over ``corpus`` (doc_id, [group,] text).
 
-    Statistics are those of all texts of a group. Terms of one text stand in one row, so term counts need no shuffle
-    of their own; only terms that some query asks for are exploded at all.
+    Statistics are those of all texts of a group, counted in one pass that combines in each task. Queries go to the
+    tasks in blocks of ``block``; a task scores its texts against a block at once and keeps its best k of each query,
+    so that neither postings nor scores of all texts are shuffled. Null texts count as empty ones.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
-    docs = corpus.select("doc_id", *groups, T.tokens("text").alias("_terms")).withColumn("dl", F.size("_terms"))
-    size = docs.groupBy(*groups).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    vocabulary = asked.select("term").distinct()
-    tf = docs.select("doc_id", *groups, "dl", F.explode("_terms").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", *groups, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*groups, "term").agg(F.count("*").alias("df"))
-    stats = df.join(size, list(groups)) if groups else df.crossJoin(F.broadcast(size))
-    idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = asked.join(stats, "term").select("query_id", *groups, "term", idf.alias("idf"), "avgdl")
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(weights, [*groups, "term"]).groupBy("query_id", *groups, "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return top_k(scored, ["query_id", *groups], [F.desc("score"), F.asc("doc_id")], k)
+    spark, out, low = corpus.sparkSession, None, None
+    docs = corpus.select("doc_id", F.col(group).alias("grp") if group else F.lit("").alias("grp"), T.tokens("text").alias("terms"))
+    sizes = {r.grp: (r.n, r.avgdl) for r in docs.groupBy("grp").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl")).collect()}
+    while True:
+        page = queries.filter(F.col("query_id").isNotNull())
+        rows = (page if low is None else page.filter(F.col("query_id") > low)).orderBy("query_id").limit(block).select("query_id", F.array_distinct(T.tokens("text")).alias("terms")).collect()
+        if rows:
+            found = _bm25_block(docs, rows, sizes, k, k1, b)
+            out = found if out is None else out.unionByName(found)
+        if len(rows) < block:
+            break
+        low = rows[-1].query_id
+    keys = ["query_id", "grp"]
+    if out is None:
+        out = spark.createDataFrame([], "query_id BIGINT, grp STRING, doc_id BIGINT, score DOUBLE")
+    best = top_k(out, keys, [F.desc("score"), F.asc("doc_id")], k)
+    return best.withColumnRenamed("grp", group) if group else best.drop("grp")
+
+
+def _bm25_block(docs: DataFrame, rows: list, sizes: dict, k: int, k1: float, b: float) -> DataFrame:
+    vocabulary = sorted({t for r in rows for t in r.terms})
+    place = {t: n for n, t in enumerate(vocabulary)}
+    asked: list[list[int]] = [[] for _ in vocabulary]
+    for n, r in enumerate(rows):
+        for t in r.terms:
+            asked[place[t]].append(n)
+    words = docs.sparkSession.createDataFrame([(vocabulary,)], "vocabulary ARRAY<STRING>")
+    held = docs.select("grp", F.explode(F.array_distinct("terms")).alias("term")).join(words.select(F.explode("vocabulary").alias("term")), "term", "left_semi")
+    idf = {(r.grp, r.term): np.log((sizes[r.grp][0] - r.df + 0.5) / (r.df + 0.5) + 1) for r in held.groupBy("grp", "term").agg(F.count("*").alias("df")).collect()}
+    weight = {g: np.array([idf.get((g, t), 0.0) for t in vocabulary]) for g in sizes}
+    counts = np.array([len(a) for a in asked], dtype=np.int64)
+    flat = np.array([q for a in asked for q in a], dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows]), place, weight, counts, np.cumsum(counts) - counts, flat, sizes))
+
+    def run(batches):
+        qid, place, weight, counts, starts, flat, sizes = shared.value
+        best: dict[str, pd.DataFrame] = {}
+        for batch in batches:
+            for g, part in batch.groupby("grp", sort=False):
+                step = max(1, 4_000_000 // len(qid))
+                for a in range(0, len(part), step):
+                    some = part.iloc[a : a + step]
+                    where, term, tf = [], [], []
+                    for d, terms in enumerate(some["terms"]):
+                        for t, n in Counter(t for t in terms if t in place).items():
+                            where.append(d)
+                            term.append(place[t])
+                            tf.append(n)
+                    if not where:
+                        continue
+                    where_, term_, tf_ = np.array(where), np.array(term), np.array(tf, dtype=np.float64)
+                    dl = np.array([len(t) for t in some["terms"]], dtype=np.float64)[where_]
+                    score = weight[g][term_] * tf_ * (k1 + 1) / (tf_ + k1 * (1 - b + b * dl / sizes[g][1]))
+                    times = counts[term_]
+                    first = np.cumsum(times) - times
+                    asks = flat[np.repeat(starts[term_] - first, times) + np.arange(times.sum())]
+                    total = np.bincount(asks * len(some) + np.repeat(where_, times), weights=np.repeat(score, times), minlength=len(qid) * len(some)).reshape(len(qid), len(some))
+                    total = np.round(total, 6)
+                    total[total == 0] = -np.inf
+                    best[g] = _keep_best(best.get(g), qid, some["doc_id"].to_numpy(dtype=np.int64), total, k)
+        for g, rows in best.items():
+            yield rows.assign(grp=g)[["query_id", "grp", "doc_id", "score"]]
+
+    return docs.filter(F.col("doc_id").isNotNull()).mapInPandas(run, "query_id BIGINT, grp STRING, doc_id BIGINT, score DOUBLE")
+
+
+def _keep_best(best: pd.DataFrame | None, qid: np.ndarray, doc: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """The best k rows of each query so far, ties by document; scores of -inf are no rows."""
+    order = np.lexsort((np.broadcast_to(doc, scores.shape), -scores), axis=1)[:, :k]
+    rows = pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "doc_id": doc[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+    rows = rows[np.isfinite(rows["score"])]
+    return rows if best is None else pd.concat([best, rows]).sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
 def dense(corpus: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
@@ -76,10 +139,7 @@ def _dense_block(corpus: DataFrame, ids: list[int], vectors: np.ndarray, k: int)
             n = np.linalg.norm(m, axis=1, keepdims=True)
             scores = np.round(q @ (m / np.where(n > 0, n, 1)).T, 6) + 0.0
             scores[qid[:, None] == doc[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(doc, scores.shape), -scores), axis=1)[:, :k]
-            rows = pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "doc_id": doc[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
-            rows = rows[np.isfinite(rows["score"])]
-            best = rows if best is None else pd.concat([best, rows]).sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            best = _keep_best(best, qid, doc, scores, k)
         if best is not None:
             yield best
 
@@ -159,7 +219,7 @@ def litm(found: DataFrame, keys: tuple[str, ...] = ("query_id",), pos: str = "po
 
 def search_children(corpus: DataFrame, queries: DataFrame, profile: RetrievalProfile) -> DataFrame:
     """Reranked hits of ``corpus`` (doc_id, parent_id, db_source, text) for ``queries`` (query_id, text), for each source by itself."""
-    hits = bm25(corpus, queries, profile.top_k_retrieval, ("db_source",))
+    hits = bm25(corpus, queries, profile.top_k_retrieval, "db_source")
     ids = corpus.select("doc_id", "parent_id")
     if profile.rerank:
         hits = rerank_lexical(hits, queries, corpus)
