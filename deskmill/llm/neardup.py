@@ -157,7 +157,7 @@ def _counted(groups: DataFrame, pick, bits: int, depth: int = 1) -> np.ndarray:
             for row in range(depth):
                 at, n = np.unique(_slots(tokens, bits, row), return_counts=True)
                 total[row, at] = np.minimum(total[row, at].astype(np.int64) + n, 65_535)
-        lane = TaskContext.get().partitionId() % 64
+        lane = TaskContext.get().partitionId() >> 5
         for part, piece in enumerate(total.reshape(depth * PARTS, step)):
             if piece.any():
                 yield pd.DataFrame([(part, lane, zlib.compress(_code(piece).tobytes(), 1))], columns=["part", "lane", "codes"])
@@ -166,10 +166,13 @@ def _counted(groups: DataFrame, pick, bits: int, depth: int = 1) -> np.ndarray:
         total = np.zeros(step, dtype=np.float64)
         for blob in pdf["codes"]:
             total += _value(np.frombuffer(zlib.decompress(blob), np.uint8))
-        return pd.DataFrame([(pdf["part"].iloc[0], 0, zlib.compress(_code(total).tobytes(), 1))], columns=["part", "lane", "codes"])
+        return pd.DataFrame([(pdf["part"].iloc[0], int(pdf["lane"].iloc[0]) >> 5, zlib.compress(_code(total).tobytes(), 1))], columns=["part", "lane", "codes"])
 
     kind = "part INT, lane INT, codes BINARY"
-    lanes = groups.mapInPandas(count, kind).groupBy("part", "lane").applyInPandas(add, kind)
+    # merged in levels of 32 tasks, so that no merge holds the pieces of all tasks
+    lanes = groups.mapInPandas(count, kind)
+    for _ in range(2):
+        lanes = lanes.groupBy("part", "lane").applyInPandas(add, kind)
     out = np.zeros((depth * PARTS, step), dtype=np.uint8)
     for row in lanes.groupBy("part").applyInPandas(add, kind).collect():
         out[row.part] = np.frombuffer(zlib.decompress(row.codes), np.uint8)
