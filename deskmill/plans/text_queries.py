@@ -175,13 +175,13 @@ _LETTERS = r"list_sort(list_distinct(regexp_extract_all(replace(lower(coalesce({
 
 
 @query(f"""
-    SELECT item_id, {_NORM.format('options')} AS normalized, {_LETTERS.format('options')} AS letters, CAST(len({_PARTS.format('options')}) AS BIGINT) AS n_parts, array_to_string({_PARTS.format('options')}, '|') AS parts,
+    SELECT item_id, {_NORM.format('options')} AS normalized, array_to_string({_LETTERS.format('options')}, ',') AS letters, CAST(len({_PARTS.format('options')}) AS BIGINT) AS n_parts, array_to_string({_PARTS.format('options')}, '|') AS parts,
            {_LETTERS.format('options')} = {_LETTERS.format('correct_answer')} AS same_letters
     FROM eval_items""")
 def answer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "eval_items")
     parts = T.reference_parts("options")
-    return items.select("item_id", T.normalize_answer("options").alias("normalized"), T.option_letters("options").alias("letters"), F.size(parts).cast("bigint").alias("n_parts"), F.array_join(parts, "|").alias("parts"), (T.option_letters("options") == T.option_letters("correct_answer")).alias("same_letters"))
+    return items.select("item_id", T.normalize_answer("options").alias("normalized"), F.array_join(T.option_letters("options"), ",").alias("letters"), F.size(parts).cast("bigint").alias("n_parts"), F.array_join(parts, "|").alias("parts"), (T.option_letters("options") == T.option_letters("correct_answer")).alias("same_letters"))
 
 
 @query(f"""
@@ -216,10 +216,11 @@ def quiz_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT vec_id, list_transform(embedding, lambda x: round(CASE WHEN n > 0 THEN x::DOUBLE / n ELSE 0.0 END, 6)) AS unit
-    FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)""")
+    SELECT vec_id, CAST(p AS BIGINT) AS pos, round(CASE WHEN n > 0 THEN embedding[p]::DOUBLE / n ELSE 0.0 END, 6) AS value
+    FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings), unnest(range(1, len(embedding) + 1)) AS t(p)""")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    unit = table(spark, sf_dir, "embeddings").select("vec_id", V.l2_normalize(F.col("embedding")).alias("unit"))
+    return unit.select("vec_id", F.posexplode("unit").alias("p", "v")).select("vec_id", (F.col("p") + 1).cast("bigint").alias("pos"), F.round("v", 6).alias("value"))
 
 
 @query(f"""
