@@ -25,18 +25,17 @@ from deskmill.operators.common import top_k
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None, k1: float = BM25_K1, b: float = BM25_B, block: int = 1024) -> DataFrame:
     """(query_id, [group,] doc_id, score, rank): Okapi BM25 of ``queries`` (query_id, text) over ``corpus`` (doc_id, [group,] text).
 
-    Statistics are those of all texts of a group, counted in one pass that combines in each task. Queries go to the
+    Statistics are those of all texts of a group, counted in one pass that combines in each task (a row for each term asked for). Queries go to the
     tasks in blocks of ``block``; a task scores its texts against a block at once and keeps its best k of each query,
     so that neither postings nor scores of all texts are shuffled. Null texts count as empty ones.
     """
     spark, out, low = corpus.sparkSession, None, None
     docs = corpus.select("doc_id", F.col(group).alias("grp") if group else F.lit("").alias("grp"), T.tokens("text").alias("terms"))
-    sizes = {r.grp: (r.n, r.avgdl) for r in docs.groupBy("grp").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl")).collect()}
     while True:
         page = queries.filter(F.col("query_id").isNotNull())
         rows = (page if low is None else page.filter(F.col("query_id") > low)).orderBy("query_id").limit(block).select("query_id", F.array_distinct(T.tokens("text")).alias("terms")).collect()
         if rows:
-            found = _bm25_block(docs, rows, sizes, k, k1, b)
+            found = _bm25_block(docs, rows, k, k1, b)
             out = found if out is None else out.unionByName(found)
         if len(rows) < block:
             break
@@ -48,16 +47,19 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None
     return best.withColumnRenamed("grp", group) if group else best.drop("grp")
 
 
-def _bm25_block(docs: DataFrame, rows: list, sizes: dict, k: int, k1: float, b: float) -> DataFrame:
+def _bm25_block(docs: DataFrame, rows: list, k: int, k1: float, b: float) -> DataFrame:
     vocabulary = sorted({t for r in rows for t in r.terms})
     place = {t: n for n, t in enumerate(vocabulary)}
     asked: list[list[int]] = [[] for _ in vocabulary]
     for n, r in enumerate(rows):
         for t in r.terms:
             asked[place[t]].append(n)
-    words = docs.sparkSession.createDataFrame([(vocabulary,)], "vocabulary ARRAY<STRING>")
-    held = docs.select("grp", F.explode(F.array_distinct("terms")).alias("term")).join(words.select(F.explode("vocabulary").alias("term")), "term", "left_semi")
-    idf = {(r.grp, r.term): np.log((sizes[r.grp][0] - r.df + 0.5) / (r.df + 0.5) + 1) for r in held.groupBy("grp", "term").agg(F.count("*").alias("df")).collect()}
+    # one pass: the empty term stands in every text, so that its row counts the texts and averages their lengths
+    words = docs.sparkSession.createDataFrame([(["", *vocabulary],)], "vocabulary ARRAY<STRING>").select(F.explode("vocabulary").alias("term"))
+    held = docs.select("grp", F.size("terms").alias("dl"), F.explode(F.array_union(F.array(F.lit("")), "terms")).alias("term")).join(words, "term", "left_semi")
+    stats = held.groupBy("grp", "term").agg(F.count("*").alias("df"), F.avg("dl").alias("avgdl")).collect()
+    sizes = {r.grp: (r.df, r.avgdl) for r in stats if r.term == ""}
+    idf = {(r.grp, r.term): np.log((sizes[r.grp][0] - r.df + 0.5) / (r.df + 0.5) + 1) for r in stats}
     weight = {g: np.array([idf.get((g, t), 0.0) for t in vocabulary]) for g in sizes}
     counts = np.array([len(a) for a in asked], dtype=np.int64)
     flat = np.array([q for a in asked for q in a], dtype=np.int64)

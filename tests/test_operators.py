@@ -77,6 +77,28 @@ def test_dense_blocks_and_zero_vectors(spark):
     assert got[60, 1] == (0, 0.0) and len(got) == 55
 
 
+def test_bm25_against_brute_force(spark):
+    texts = {1: "alpha beta beta gamma", 2: "beta", 3: None, 4: "delta delta epsilon alpha", 5: "", 6: "alpha alpha alpha alpha zeta"}
+    asks = {1: "alpha beta", 2: "delta missing", 3: "nothing here", 4: None}
+    docs = spark.createDataFrame([(k, "x", t) for k, t in texts.items()], "doc_id BIGINT, db_source STRING, text STRING").repartition(3)
+    queries = spark.createDataFrame(list(asks.items()), "query_id BIGINT, text STRING")
+    words = {k: (t or "").split() for k, t in texts.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    want = {}
+    for q, a in asks.items():
+        for d, w in words.items():
+            s = 0.0
+            for t in set((a or "").split()):
+                df, tf = sum(t in x for x in words.values()), w.count(t)
+                s += np.log((len(words) - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean)) if tf else 0
+            if s:
+                want[q, d] = round(s, 6)
+    for block in (1024, 1):
+        got = R.bm25(docs, queries, 2, "db_source", block=block).collect()
+        assert {(r.query_id, r.doc_id): r.score for r in got} == {k: s for k, s in want.items() if sorted((-x, e) for (q, e), x in want.items() if q == k[0]).index((-s, k[1])) < 2}
+    assert R.bm25(docs, queries.limit(0), 2).count() == 0 and R.bm25(docs.limit(0), queries, 2).count() == 0
+
+
 def test_chunks_cover_the_text(spark):
     texts = {1: "x" * 400, 2: "абв " * 200, 3: "", 4: None, 5: "y" * 401}
     rows = chunking.fixed(spark.createDataFrame(list(texts.items()), "k BIGINT, t STRING"), "k", "t").collect()
