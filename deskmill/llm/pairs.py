@@ -1,8 +1,8 @@
 """Defective prompt and response pairs: empty, copy, refusal, other_language or truncated, at most one each.
 
-* *Refusals.* Each response gives the openings of its first sentences (eight words, numbers and identifiers masked,
-  quotations removed). Distinct openings are clustered: MinHash bands propose pairs of openings, five-word shingles
-  verify them (Jaccard of 0.8 or more), and an opening takes the least opening it verifies with as its cluster. What is
+* *Refusals.* Each response gives the openings of its first sentences (twelve words, numbers and identifiers masked,
+  quotations removed). Distinct openings are clustered: MinHash bands propose pairs of openings, their word
+  sets verify them (Jaccard of 0.7 or more; negated and other openings never mix), and an opening takes the least opening it verifies with as its cluster. What is
   counted is how many unrelated prompts a cluster's openings answer, and how many of its rows speak of declining. A
   template that recurs over unrelated prompts and declines marks all its responses, also those that say it in words no
   rule knows; a response that declines plainly is marked without a cluster as well.
@@ -32,7 +32,10 @@ from deskmill.llm.words import TAG, WORD
 from deskmill.session import materialise
 
 FEATURES = "pair_id BIGINT, at STRING, defect STRING, openings ARRAY<STRING>, declines ARRAY<BOOLEAN>, speaks ARRAY<BOOLEAN>, prompt BIGINT, tails ARRAY<BIGINT>, lang_differs BOOLEAN"
-OPENING_WORDS, MIN_PROMPTS = 8, 3
+OPENING_WORDS, MIN_PROMPTS = 12, 3
+PROMPT_WORDS = 8
+#: Jaccard of word sets: one other word in six and two in twelve still reach it.
+ALIKE = 0.7
 BANDS, ROWS = 16, 4
 
 # fixed values: what stands for no content, in lower case
@@ -56,6 +59,8 @@ _DECLINES = re.compile(
 )
 _SPEAKS = re.compile(r"\b(?:я|мне|мои[хм]?|моей|мы|i|i'm|my|we|ich|mir|mein\w*|wir)\b|我|我们|私", re.I)
 
+_NEGATIONS = frozenset("не нет нельзя ни без бессилен not no never t cannot without nor nicht kein keine keinen nie ohne".split())
+
 _STOP = {
     "ru": frozenset("и в на не с по для что это как от при из к до или после чего было так если уже за".split()),
     "en": frozenset("the a an of to and in is was it on for with at that which by then from not be has had".split()),
@@ -188,7 +193,7 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
             out = []
             for key, problem, solution, at in zip(batch["pair_id"], batch["problem"], batch["solution"], batch["at"]):
                 problem = problem if isinstance(problem, str) else ""
-                prompt = _seq(WORD.findall(_masked(problem))[:OPENING_WORDS])
+                prompt = _seq(WORD.findall(_masked(problem))[:PROMPT_WORDS])
                 if not isinstance(solution, str) or is_empty(solution):
                     out.append((key, at, "empty", [], [], [], prompt, [], False))
                     continue
@@ -248,8 +253,8 @@ def _clustered(kinds: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch["opening"]:
-                shingles = np.array([xxhash.xxh3_64_intdigest(s) for s in _shingles(text)], dtype=np.uint64)
-                x = shingles[:, None] ^ salts[None, :]
+                hashes = np.array([xxhash.xxh3_64_intdigest(s) for s in _word_set(text)], dtype=np.uint64)
+                x = hashes[:, None] ^ salts[None, :]
                 x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                 signature = (x ^ (x >> np.uint64(29))).min(axis=0)
                 out += [(text, b, xxhash.xxh3_64_intdigest(signature[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63)) for b in range(BANDS)]
@@ -257,16 +262,27 @@ def _clustered(kinds: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(x & y) / len(x | y) for x, y in zip(map(_shingles, a), map(_shingles, b))])
+        return pd.Series([_alike(x, y) for x, y in zip(map(_word_set, a), map(_word_set, b))])
 
     hashed = kinds.select("opening").mapInPandas(bands, "opening STRING, band INT, bucket BIGINT")
     # within a bucket every opening is held against the bucket's least one, never all against all
     least = hashed.groupBy("band", "bucket").agg(F.min("opening").alias("least"))
     near = hashed.join(least, ["band", "bucket"]).filter(F.col("opening") != F.col("least")).select("opening", "least").distinct()
-    verified = near.filter(similarity("opening", "least") >= 0.8).groupBy("opening").agg(F.min("least").alias("least"))
+    verified = near.filter(similarity("opening", "least") >= ALIKE).groupBy("opening").agg(F.min("least").alias("least"))
     return kinds.join(verified, "opening", "left").withColumn("cluster", F.coalesce("least", "opening")).drop("least")
 
 
-def _shingles(opening: str) -> frozenset[str]:
+def _word_set(opening: str) -> frozenset[str]:
+    """The words, and whether one negates: 'can help' is no wording of 'can not help'."""
     w = opening.split()
-    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    return frozenset([*w, f"negates={_negates(w)}"])
+
+
+def _alike(x: frozenset[str], y: frozenset[str]) -> float:
+    """Jaccard of the words; 0 where only one side negates."""
+    common = len(x & y) - 1
+    return common / max(1, len(x | y) - 1) if any(w in y for w in x if w.startswith("negates=")) else 0.0
+
+
+def _negates(words: list[str]) -> bool:
+    return any(w in _NEGATIONS or w.startswith(("невозмож", "unable")) for w in words)

@@ -43,3 +43,9 @@ def test_table(spark):
     assert not any(k < 40 for k in got)
     assert {got.get(100), got.get(104)} == {"refusal"}
     assert pairs.defects(df.limit(0)).count() == 0
+
+
+def test_one_other_word_shares_a_cluster(spark):
+    said = ["i would rather leave that to the maker", "i would rather leave this to the maker", "i would rather not leave that to the maker", "the fuse of the cabinet was replaced today"]
+    got = {r.opening: r.cluster for r in pairs._clustered(spark.createDataFrame([(x,) for x in said], "opening STRING")).collect()}
+    assert got[said[0]] == got[said[1]] and len(set(got.values())) == 3
