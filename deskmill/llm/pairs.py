@@ -4,8 +4,10 @@
   quotations removed). Distinct openings are clustered: MinHash bands propose pairs of openings, their word
   sets verify them (Jaccard of 0.7 or more; negated and other openings never mix), and an opening takes the least opening it verifies with as its cluster. What is
   counted is how many unrelated prompts a cluster's openings answer, and how many of its rows speak of declining. A
-  template that recurs over unrelated prompts and declines marks all its responses, also those that say it in words no
-  rule knows; a response that declines plainly is marked without a cluster as well.
+  template that recurs over unrelated prompts and declines marks its responses, also those that say it in words no rule
+  knows. So does one in words that no rule knows at all, if it speaks in the first person over prompts of many topics,
+  takes little from them, nearly always stands in responses without numbers of their own, and mostly has words that
+  responses with such numbers do not use. A response that declines plainly is marked without a cluster as well.
 * *Truncation.* A response without end mark may still be whole. Counts over the whole table tell how often its last
   words end a sentence and how often they go on; the longest word sequence with evidence decides.
 * *Copy* is word coverage by the problem, *other_language* compares scripts and function words, *empty* knows fillers.
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from deskmill.llm.words import TAG, WORD
 from deskmill.session import materialise
 
-FEATURES = "pair_id BIGINT, at STRING, defect STRING, openings ARRAY<STRING>, declines ARRAY<BOOLEAN>, speaks ARRAY<BOOLEAN>, prompt BIGINT, tails ARRAY<BIGINT>, lang_differs BOOLEAN"
+FEATURES = "pair_id BIGINT, at STRING, defect STRING, openings ARRAY<STRING>, declines ARRAY<BOOLEAN>, speaks ARRAY<BOOLEAN>, echoes ARRAY<DOUBLE>, bare BOOLEAN, prompt BIGINT, topic BIGINT, tails ARRAY<BIGINT>, lang_differs BOOLEAN"
 OPENING_WORDS, MIN_PROMPTS = 12, 3
 PROMPT_WORDS = 8
+#: A template that no rule knows: prompts of so many topics, so much of its words from the prompt at most, so many rows bare.
+MIN_TOPICS, MAX_ECHO, MIN_BARE = 10, 0.34, 0.9
 #: Jaccard of word sets: one other word in six and two in twelve still reach it.
 ALIKE = 0.7
 BANDS, ROWS = 16, 4
@@ -46,6 +50,7 @@ _INVISIBLE = re.compile("[\\s​-‏⁠﻿­ ]+")
 _FENCE = re.compile(r"^\s*```\w*\s*$|```")
 _QUOTED = re.compile(r"«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]|\"[^\"\n]*\"")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\s)\"»”]+|\n+")
+_NUMBERED = re.compile(r"\w*\d\w*")
 _MASK = ((re.compile(r"\b\w*\d[\w.:/-]*"), "9"), (re.compile(r"\b[A-ZА-ЯЁ]{2,}\b(?:[_-]\w+)*"), "v"))
 
 _DECLINES = re.compile(
@@ -136,6 +141,23 @@ def _masked(text: str) -> str:
     return text.lower()
 
 
+def is_bare(problem: str, response: str) -> bool:
+    """Whether the response names no number or identifier but the problem's."""
+    return set(_NUMBERED.findall(_clean(response).lower())) <= set(_NUMBERED.findall(_clean(problem).lower()))
+
+
+def _echo(part: str, problem: str) -> float:
+    """Share of the longer words that the problem has as well."""
+    words = {w for w in WORD.findall(part.lower()) if len(w) >= 4}
+    return len(words & set(WORD.findall(problem.lower()))) / len(words) if words else 0.0
+
+
+def _topic(problem: str) -> int:
+    """The least word pair of the problem by hash: problems that say nearly the same mostly agree in it."""
+    w = WORD.findall(_masked(problem))
+    return min(_seq(w[i : i + 2]) for i in range(max(1, len(w) - 1)))
+
+
 def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(_QUOTED.sub(" q ", _clean(text))) if s and any(ch.isalnum() for ch in s)]
 
@@ -195,7 +217,7 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
                 problem = problem if isinstance(problem, str) else ""
                 prompt = _seq(WORD.findall(_masked(problem))[:PROMPT_WORDS])
                 if not isinstance(solution, str) or is_empty(solution):
-                    out.append((key, at, "empty", [], [], [], prompt, [], False))
+                    out.append((key, at, "empty", [], [], [], [], False, prompt, prompt, [], False))
                     continue
                 defect = "copy" if covered(problem, solution) >= 0.8 else None
                 parts = sentences(solution)[:3]
@@ -206,20 +228,33 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
                 elif end == "open":
                     w = _tail_words(_SENTENCE.split(_clean(solution).rstrip().removesuffix("```").rstrip())[-1])
                     tails = [_seq(w[-k:]) for k in (4, 3, 2, 1) if len(w) >= k] or [0]
-                out.append((key, at, defect, openings(solution), [bool(_DECLINES.search(p)) for p in parts], [bool(_SPEAKS.search(p)) for p in parts], prompt, tails, _differs(language(problem), language(solution))))
-            yield pd.DataFrame(out, columns=["pair_id", "at", "defect", "openings", "declines", "speaks", "prompt", "tails", "lang_differs"])
+                out.append((key, at, defect, openings(solution), [bool(_DECLINES.search(p)) for p in parts], [bool(_SPEAKS.search(p)) for p in parts], [_echo(p, problem) for p in parts], is_bare(problem, solution), prompt, _topic(problem), tails, _differs(language(problem), language(solution))))
+            yield pd.DataFrame(out, columns=["pair_id", "at", "defect", "openings", "declines", "speaks", "echoes", "bare", "prompt", "topic", "tails", "lang_differs"])
 
     seen = rows.mapInPandas(features, FEATURES)
     one = materialise(seen.groupBy("pair_id").agg(F.max_by(F.struct(*[c for c in seen.columns if c != "pair_id"]), F.struct("at", F.xxhash64("defect", "openings"))).alias("f")).select("pair_id", "f.*"), "pair-features")
 
     # refusals: cluster the openings
-    said = one.filter(F.col("defect").isNull()).select("pair_id", "prompt", F.explode(F.arrays_zip("openings", "declines", "speaks")).alias("o")).select("pair_id", "prompt", "o.*")
-    kinds = said.groupBy(F.col("openings").alias("opening")).agg(F.collect_set(F.pmod("prompt", F.lit(1024))).alias("prompts"), F.count("*").alias("n"), F.sum(F.col("declines").cast("long")).alias("declines"), F.sum(F.col("speaks").cast("long")).alias("speaks"))
-    clusters = _clustered(kinds)
-    stats = clusters.groupBy("cluster").agg(F.size(F.array_distinct(F.flatten(F.collect_list("prompts")))).alias("prompts"), F.sum("n").alias("n"), F.sum("declines").alias("declines"), F.sum("speaks").alias("speaks"))
-    refusing = stats.filter((F.col("prompts") >= MIN_PROMPTS) & (F.col("declines") * 2 >= F.col("n")))
-    templates = clusters.join(refusing.select("cluster"), "cluster", "left_semi").select(F.col("opening").alias("openings"))
-    refused = said.join(templates.withColumn("template", F.lit(True)), "openings", "left").filter(F.col("template") | F.col("declines")).select("pair_id").distinct().withColumn("refuses", F.lit(True))
+    said = one.filter(F.col("defect").isNull()).select("pair_id", "prompt", "topic", "bare", F.explode(F.arrays_zip("openings", "declines", "speaks", "echoes")).alias("o")).select("pair_id", "prompt", "topic", "bare", "o.*")
+    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in ("declines", "speaks", "echoes", "bare")]
+    kinds = materialise(said.groupBy(F.col("openings").alias("opening")).agg(F.collect_set(F.pmod("prompt", F.lit(1024))).alias("prompts"), F.collect_set(F.pmod("topic", F.lit(1024))).alias("topics"), F.count("*").alias("n"), *sums), "openings")
+    clusters = materialise(_clustered(kinds), "clusters")
+    several = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    stats = clusters.groupBy("cluster").agg(several("prompts"), several("topics"), *[F.sum(c).alias(c) for c in ("n", "declines", "speaks", "echoes", "bare")])
+    known = (F.col("prompts") >= MIN_PROMPTS) & (F.col("declines") * 2 >= F.col("n"))
+    unknown = (F.col("topics") >= MIN_TOPICS) & (F.col("speaks") * 2 >= F.col("n")) & (F.col("bare") >= MIN_BARE * F.col("n")) & (F.col("echoes") <= MAX_ECHO * F.col("n"))
+    judged = stats.filter(known | unknown).select("cluster", known.alias("known"))
+    maybe = clusters.join(judged, "cluster")
+    # a template no rule knows has words of its own: what answers with findings of their own say as well is an answer
+    words = lambda df: df.withColumn("word", F.explode(F.array_distinct(F.split("opening", " ")))).filter(F.length("word") >= 4)
+    asked = words(maybe.filter(~F.col("known"))).select("cluster", "word", "n")
+    usual = words(kinds).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg((F.sum("bare") * 2 < F.sum("n")).alias("usual"))
+    apart = asked.join(usual, "word").groupBy("cluster").agg((F.sum(F.when(F.col("usual"), F.col("n")).otherwise(0)) * 2 < F.sum("n")).alias("apart"))
+    templates = maybe.join(apart, "cluster", "left").filter(F.col("known") | F.col("apart"))
+    # an opening that itself mostly declines marks all its rows, another one of its cluster only those that bring nothing of their own
+    own = (F.size("prompts") >= MIN_PROMPTS) & (F.col("declines") * 2 >= F.col("n"))
+    templates = templates.select(F.col("opening").alias("openings"), own.alias("own"), F.lit(True).alias("template"))
+    refused = said.join(templates, "openings", "left").filter(F.col("own") | (F.col("template") & F.col("bare")) | F.col("declines")).select("pair_id").distinct().withColumn("refuses", F.lit(True))
 
     # truncation: how often the last words of open ends end a sentence elsewhere
     def endings(batches):

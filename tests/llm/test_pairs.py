@@ -49,3 +49,16 @@ def test_one_other_word_shares_a_cluster(spark):
     said = ["i would rather leave that to the maker", "i would rather leave this to the maker", "i would rather not leave that to the maker", "the fuse of the cabinet was replaced today"]
     got = {r.opening: r.cluster for r in pairs._clustered(spark.createDataFrame([(x,) for x in said], "opening STRING")).collect()}
     assert got[said[0]] == got[said[1]] and len(set(got.values())) == 3
+
+
+def test_template_of_unknown_wording(spark):
+    nouns = "шкаф насос щит кабель датчик привод клапан шлюз экран сервер монитор журнал".split()
+    ask = lambda i: f"{nouns[i % 12].capitalize()} {nouns[i * 5 % 12]} {nouns[i * 7 % 12]} {'моргает гудит греется молчит'.split()[i % 4]}"
+    rows = [(i, ask(i), "Такие вещи я предпочту оставить изготовителю, обратитесь туда.") for i in range(24)]
+    rows += [(100 + i, ask(i), f"Мы посоветовали перезапустить службу на узле {i + 50}, и код пропал.") for i in range(24)]
+    rows += [(200 + i, ask(i), "Мы посоветовали перезапустить службу, и код пропал.") for i in range(12)]
+    rows += [(300 + i, ask(i), f"Мы поняли суть дела. Рекомендовано очистить кэш на узле {i + 50}, после чего код пропал.") for i in range(24)]
+    rows += [(400 + i, "Шкаф связи моргает", "Я всё передал сменному мастеру участка.") for i in range(24)]
+    df = spark.createDataFrame([(*r, "2024-01-01") for r in rows], "pair_id BIGINT, problem_summary STRING, solution_summary STRING, created_at STRING")
+    assert not any(pairs._DECLINES.search(r[2]) for r in rows)
+    assert {r.pair_id for r in pairs.defects(df).filter("defect = 'refusal'").collect()} == set(range(24))
