@@ -341,14 +341,16 @@ def record_pairs(records: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
 
 
 def classes(records: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(src, id, class_id, n_links): each record once with its class (connected by links) and its member's links to other texts.
+    """(src, id, class_id, n_links): each record once with its class (connected by links) and its text's links to other texts.
 
     Copies are not expanded into pairs. Labels are the least member of the class: each round takes the least label of a
     member's neighbours, then that label's own label, until nothing changes; rounds are cut by written tables.
     """
     groups = grouped(records, k)
-    pairs = materialise(member_pairs(groups, threshold).select("a", "b"), "member-pairs")
-    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    pairs = member_pairs(groups, threshold)
+    # a text whose copies fill several members is one of them, so that it counts once and never as its own neighbour
+    pairs = materialise(pairs.select("a", "b", (F.col("similarity") == 1).alias("same")), "member-pairs")
+    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same")).distinct()
     labels = materialise(edges.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
@@ -358,8 +360,13 @@ def classes(records: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame
         labels = step.select("v", "label")
         if step.filter(F.col("old") != F.col("label")).isEmpty():
             break
-    links = edges.groupBy(F.col("a").alias("member")).agg(F.count("*").alias("n_links"))
-    out = members(groups).join(labels.withColumnRenamed("v", "member"), "member", "left").join(links, "member", "left")
+    # equal sets are all linked with each other, so that the least neighbour of that kind is the same for all of them
+    first = edges.filter("same").groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("text"))
+    a, b = first.select(F.col("v").alias("a"), F.col("text").alias("at")), first.select(F.col("v").alias("b"), F.col("text").alias("bt"))
+    texts = edges.filter(~F.col("same")).join(a, "a", "left").join(b, "b", "left").select(F.coalesce("at", "a").alias("text"), F.coalesce("bt", "b").alias("other")).distinct()
+    links = texts.groupBy("text").agg(F.count("*").alias("n_links"))
+    out = members(groups).join(labels.withColumnRenamed("v", "member"), "member", "left").join(first.select(F.col("v").alias("member"), "text"), "member", "left")
+    out = out.withColumn("text", F.coalesce("text", "member")).join(links, "text", "left")
     out = out.select("src", "id", F.coalesce("label", "member").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     named = out.groupBy("class_id", "src").agg(F.min("id").alias("name"))
     return out.join(named, ["class_id", "src"]).groupBy("src", "id").agg(F.min("name").alias("class_id"), F.max("n_links").alias("n_links"))

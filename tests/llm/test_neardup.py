@@ -66,3 +66,13 @@ def test_empty(spark):
 def test_pack():
     x = np.array([0, 5, (1 << 40) - 1, 1 << 33], dtype=np.uint64)
     assert (neardup.unpack(neardup.pack(x)) == x).all()
+
+
+def test_links_of_a_text_in_several_members(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_sets", lambda records, k, made=neardup._sets: made(records.repartition(8), k))
+    monkeypatch.setattr(neardup, "MAX_IDS", 2)
+    base = [f"x{i}" for i in range(60)]
+    rows = [("page", i, "этот текст ни с каким другим не схож") for i in range(40)] + [("page", 100 + i, " ".join(base[:50])) for i in range(40)]
+    rows += [("page", 200, " ".join(base[1:51])), ("page", 201, " ".join(base[2:52]))]
+    got = {r.id: (r.class_id, r.n_links) for r in neardup.classes(spark.createDataFrame(rows, "src STRING, id BIGINT, text STRING")).collect()}
+    assert {got[i] for i in range(40)} == {(0, 0)} and {got[i] for i in range(100, 140)} == {(100, 2)} and got[200] == got[201] == (100, 2)
