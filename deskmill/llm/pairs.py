@@ -2,7 +2,8 @@
 
 * *Refusals.* Each response gives the openings of its first sentences (twelve words, numbers and identifiers masked,
   quotations removed). Distinct openings are clustered: MinHash bands propose pairs of openings, their word
-  sets verify them (Jaccard of 0.7 or more; negated and other openings never mix), and an opening takes the least opening it verifies with as its cluster. What is
+  sets verify them (Jaccard of 0.7 or more; negated and other openings never mix), and openings that differ in one run of words
+  (a name, a synonym) are joined exactly by keys without that run; clusters are the connected components of both. What is
   counted is how many unrelated prompts a cluster's openings answer, and how many of its rows speak of declining. A
   template that recurs over unrelated prompts and declines marks its responses, also those that say it in words no rule
   knows. So does one in words that no rule knows at all, if it speaks in the first person over prompts of many topics,
@@ -281,30 +282,68 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
 
 
 def _clustered(kinds: DataFrame) -> DataFrame:
-    """``kinds`` with the cluster of each opening: the least opening among those it verifies with, itself included."""
+    """``kinds`` with the cluster of each opening: the least hash of its connected component of verified pairs."""
 
     def bands(batches):
         salts = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             out = []
-            for text in batch["opening"]:
+            for text, node in zip(batch["opening"], batch["node"]):
                 hashes = np.array([xxhash.xxh3_64_intdigest(s) for s in _word_set(text)], dtype=np.uint64)
                 x = hashes[:, None] ^ salts[None, :]
                 x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                 signature = (x ^ (x >> np.uint64(29))).min(axis=0)
-                out += [(text, b, xxhash.xxh3_64_intdigest(signature[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63)) for b in range(BANDS)]
-            yield pd.DataFrame(out, columns=["opening", "band", "bucket"])
-
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_alike(x, y) for x, y in zip(map(_word_set, a), map(_word_set, b))])
-
-    hashed = kinds.select("opening").mapInPandas(bands, "opening STRING, band INT, bucket BIGINT")
-    # within a bucket every opening is held against the bucket's least one, never all against all
-    least = hashed.groupBy("band", "bucket").agg(F.min("opening").alias("least"))
-    near = hashed.join(least, ["band", "bucket"]).filter(F.col("opening") != F.col("least")).select("opening", "least").distinct()
-    verified = near.filter(similarity("opening", "least") >= ALIKE).groupBy("opening").agg(F.min("least").alias("least"))
-    return kinds.join(verified, "opening", "left").withColumn("cluster", F.coalesce("least", "opening")).drop("least")
+                out += [(text, node, b, xxhash.xxh3_64_intdigest(signature[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63)) for b in range(BANDS)]
+            yield pd.DataFrame(out, columns=["opening", "node", "band", "bucket"])
+
+    def leaders(batches):
+        """Within a bucket each opening is held against those that none before it was like: passes over the unmatched rest."""
+        at, firsts = None, []
+        for batch in batches:
+            out = []
+            for text, node, key in zip(batch["opening"], batch["node"], zip(batch["band"], batch["bucket"])):
+                if key != at:
+                    at, firsts = key, []
+                words = _word_set(text)
+                found = [first for first, other in firsts if _alike(words, other) >= ALIKE]
+                out += [(node, first) for first in found]
+                if not found:
+                    firsts.append((node, words))
+            yield pd.DataFrame(out, columns=["node", "other"])
+
+    def slots(batches):
+        for batch in batches:
+            out = [(node, key) for text, node in zip(batch["opening"], batch["node"]) for key in _slots(text)]
+            yield pd.DataFrame(out, columns=["node", "key"])
+
+    # sizes are guessed from what goes into the Python stages, which make many times as much: sorted joins, no broadcast
+    kinds = kinds.withColumn("node", F.xxhash64("opening"))
+    openings = kinds.select("opening", "node")
+    # exact for openings that differ in one place, however many share their bucket
+    keyed = openings.mapInPandas(slots, "node BIGINT, key BIGINT")
+    edges = keyed.hint("merge").join(keyed.groupBy("key").agg(F.min("node").alias("other")).hint("merge"), "key").select("node", "other")
+    hashed = openings.mapInPandas(bands, "opening STRING, node BIGINT, band INT, bucket BIGINT")
+    several = hashed.hint("merge").join(hashed.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1").hint("merge"), ["band", "bucket"], "left_semi")
+    edges = edges.unionByName(several.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "opening").mapInPandas(leaders, "node BIGINT, other BIGINT"))
+    edges = edges.filter(F.col("node") != F.col("other")).distinct()
+    edges = materialise(edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))), "opening-links")
+    labels = materialise(edges.select("node").distinct().withColumn("cluster", F.col("node")), "opening-labels")
+    while True:
+        near = edges.join(labels.select(F.col("node").alias("other"), F.col("cluster").alias("near")).hint("merge"), "other").groupBy("node").agg(F.min("near").alias("near"))
+        step = labels.join(near.hint("merge"), "node").select("node", F.col("cluster").alias("old"), F.least("cluster", "near").alias("cluster"))
+        up = step.select(F.col("node").alias("cluster"), F.col("cluster").alias("upper"))
+        step = materialise(step.join(up.hint("merge"), "cluster", "left").select("node", "old", F.least("cluster", F.coalesce("upper", "cluster")).alias("cluster")), "opening-labels")
+        labels = step.select("node", "cluster")
+        if step.filter(F.col("old") != F.col("cluster")).isEmpty():
+            break
+    return kinds.join(labels.withColumnRenamed("cluster", "least").hint("merge"), "node", "left").withColumn("cluster", F.coalesce("least", "node")).drop("least", "node")
+
+
+def _slots(opening: str) -> set[int]:
+    """Keys of the opening, whole and without each run of up to a quarter of its words, four words left at least."""
+    w = opening.split()
+    runs = [(i, d) for d in range(1, len(w) // 4 + 1) if len(w) - d >= 4 for i in range(len(w) - d + 1)]
+    return {_seq([str(_negates(w)), *w[:i], *w[i + d :]]) for i, d in [(0, 0), *runs]}
 
 
 def _word_set(opening: str) -> frozenset[str]:

@@ -62,3 +62,13 @@ def test_template_of_unknown_wording(spark):
     df = spark.createDataFrame([(*r, "2024-01-01") for r in rows], "pair_id BIGINT, problem_summary STRING, solution_summary STRING, created_at STRING")
     assert not any(pairs._DECLINES.search(r[2]) for r in rows)
     assert {r.pair_id for r in pairs.defects(df).filter("defect = 'refusal'").collect()} == set(range(24))
+
+
+def test_openings_of_a_busy_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BANDS", 1)
+    monkeypatch.setattr(pairs, "ROWS", 0)  # one bucket for all
+    names = ["boiler", "steam trap", "relay", "heat pump", "valve"]
+    said = ["a pump was replaced and the line was shielded on node 9"] + [f"we would rather leave the {n} to whoever built it" for n in names]
+    said += ["please turn to your own dealer first of all about it today", "kindly turn to your own dealer first of all about this today"]
+    got = {r.opening: r.cluster for r in pairs._clustered(spark.createDataFrame([(x,) for x in said], "opening STRING")).collect()}
+    assert len({got[x] for x in said[1:6]}) == 1 and got[said[6]] == got[said[7]] and len(set(got.values())) == 3
