@@ -8,7 +8,7 @@
   template that recurs over unrelated prompts and declines marks its responses, also those that say it in words no rule
   knows. So does one in words that no rule knows at all, if it speaks in the first person over prompts of many topics,
   takes little from them, nearly always stands in responses without numbers of their own, and mostly has words that
-  responses with such numbers do not use. A response that declines plainly is marked without a cluster as well.
+  responses with such numbers do not use. A response that declines plainly is marked without a cluster as well, wherever it does so.
 * *Truncation.* A response without end mark may still be whole. Counts over the whole table tell how often its last
   words end a sentence and how often they go on; the longest word sequence with evidence decides.
 * *Copy* is word coverage by the problem, *other_language* compares scripts and function words, *empty* knows fillers.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from deskmill.llm.words import TAG, WORD
 from deskmill.session import materialise
 
-FEATURES = "pair_id BIGINT, at STRING, defect STRING, openings ARRAY<STRING>, declines ARRAY<BOOLEAN>, speaks ARRAY<BOOLEAN>, echoes ARRAY<DOUBLE>, bare BOOLEAN, prompt BIGINT, topic BIGINT, tails ARRAY<BIGINT>, lang_differs BOOLEAN"
+FEATURES = "pair_id BIGINT, at STRING, defect STRING, openings ARRAY<STRING>, declines ARRAY<BOOLEAN>, speaks ARRAY<BOOLEAN>, echoes ARRAY<DOUBLE>, bare BOOLEAN, declined BOOLEAN, prompt BIGINT, topic BIGINT, tails ARRAY<BIGINT>, lang_differs BOOLEAN"
 OPENING_WORDS, MIN_PROMPTS = 12, 3
 PROMPT_WORDS = 8
 #: A template that no rule knows: prompts of so many topics, so much of its words from the prompt at most, so many rows bare.
@@ -48,6 +48,7 @@ _EMPTY = frozenset(
     "n/a na none null nil nan tbd todo - -- --- — – . .. ... … [] {} () нет пусто отсутствует б/н unknown empty keine k.a. entfällt unbekannt".split()
 ) | {"нет данных", "не указано", "не задано", "no answer", "no solution", "keine angabe", "нет ответа", "без ответа", "not specified", "нет решения", "nicht angegeben"}
 _INVISIBLE = re.compile("[\\s​-‏⁠﻿­ ]+")
+_UNSPACED = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾝ]")
 _FENCE = re.compile(r"^\s*```\w*\s*$|```")
 _QUOTED = re.compile(r"«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]|\"[^\"\n]*\"")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\s)\"»”]+|\n+")
@@ -129,11 +130,20 @@ def _differs(a: str, b: str) -> bool:
     return bool(a and b) and a != b and not ("latin" in (a, b) and {a, b} <= latin)
 
 
+def _units(text: str) -> list[str]:
+    """Words; of words in scripts without blanks each two neighbouring characters."""
+    out = []
+    for w in WORD.findall(text.lower()):
+        out += [w[i : i + 2] for i in range(len(w) - 1)] if len(w) > 1 and _UNSPACED.search(w) else [w]
+    return out
+
+
 def covered(problem: str, response: str) -> float:
-    """Share of the response's words that the problem has, each as often as there."""
-    have = Counter(WORD.findall(problem.lower()))
-    words = WORD.findall(_clean(response).lower())
-    return sum((Counter(words) & have).values()) / len(words) if len(words) >= 5 else 0.0
+    """Share of the response's words that the problem has, each as often as there; under five words all of them in order or none."""
+    asked, words = _units(_clean(problem)), _units(_clean(response))
+    if len(words) < 5:
+        return float(bool(words) and words == asked)
+    return sum((Counter(words) & Counter(asked)).values()) / len(words)
 
 
 def _masked(text: str) -> str:
@@ -218,10 +228,13 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
                 problem = problem if isinstance(problem, str) else ""
                 prompt = _seq(WORD.findall(_masked(problem))[:PROMPT_WORDS])
                 if not isinstance(solution, str) or is_empty(solution):
-                    out.append((key, at, "empty", [], [], [], [], False, prompt, prompt, [], False))
+                    out.append((key, at, "empty", [], [], [], [], False, False, prompt, prompt, [], False))
                     continue
                 defect = "copy" if covered(problem, solution) >= 0.8 else None
-                parts = sentences(solution)[:3]
+                said_all = sentences(solution)
+                parts, bare = said_all[:3], is_bare(problem, solution)
+                # a sentence below the opening ones declines where no findings of the response's own stand beside it
+                declined = any(_DECLINES.search(p) for p in (said_all if bare else parts))
                 end = open_end(solution)
                 tails: list[int] = []
                 if end == "cut":
@@ -229,14 +242,14 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
                 elif end == "open":
                     w = _tail_words(_SENTENCE.split(_clean(solution).rstrip().removesuffix("```").rstrip())[-1])
                     tails = [_seq(w[-k:]) for k in (4, 3, 2, 1) if len(w) >= k] or [0]
-                out.append((key, at, defect, openings(solution), [bool(_DECLINES.search(p)) for p in parts], [bool(_SPEAKS.search(p)) for p in parts], [_echo(p, problem) for p in parts], is_bare(problem, solution), prompt, _topic(problem), tails, _differs(language(problem), language(solution))))
-            yield pd.DataFrame(out, columns=["pair_id", "at", "defect", "openings", "declines", "speaks", "echoes", "bare", "prompt", "topic", "tails", "lang_differs"])
+                out.append((key, at, defect, openings(solution), [bool(_DECLINES.search(p)) for p in parts], [bool(_SPEAKS.search(p)) for p in parts], [_echo(p, problem) for p in parts], bare, declined, prompt, _topic(problem), tails, _differs(language(problem), language(solution))))
+            yield pd.DataFrame(out, columns=["pair_id", "at", "defect", "openings", "declines", "speaks", "echoes", "bare", "declined", "prompt", "topic", "tails", "lang_differs"])
 
     seen = rows.mapInPandas(features, FEATURES)
     one = materialise(seen.groupBy("pair_id").agg(F.max_by(F.struct(*[c for c in seen.columns if c != "pair_id"]), F.struct("at", F.xxhash64("defect", "openings"))).alias("f")).select("pair_id", "f.*"), "pair-features")
 
     # refusals: cluster the openings
-    said = one.filter(F.col("defect").isNull()).select("pair_id", "prompt", "topic", "bare", F.explode(F.arrays_zip("openings", "declines", "speaks", "echoes")).alias("o")).select("pair_id", "prompt", "topic", "bare", "o.*")
+    said = one.filter(F.col("defect").isNull()).select("pair_id", "prompt", "topic", "bare", "declined", F.explode(F.arrays_zip("openings", "declines", "speaks", "echoes")).alias("o")).select("pair_id", "prompt", "topic", "bare", "declined", "o.*")
     sums = [F.sum(F.col(c).cast("double")).alias(c) for c in ("declines", "speaks", "echoes", "bare")]
     kinds = materialise(said.groupBy(F.col("openings").alias("opening")).agg(F.collect_set(F.pmod("prompt", F.lit(1024))).alias("prompts"), F.collect_set(F.pmod("topic", F.lit(1024))).alias("topics"), F.count("*").alias("n"), *sums), "openings")
     clusters = materialise(_clustered(kinds), "clusters")
@@ -255,7 +268,7 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
     # an opening that itself mostly declines marks all its rows, another one of its cluster only those that bring nothing of their own
     own = (F.size("prompts") >= MIN_PROMPTS) & (F.col("declines") * 2 >= F.col("n"))
     templates = templates.select(F.col("opening").alias("openings"), own.alias("own"), F.lit(True).alias("template"))
-    refused = said.join(templates, "openings", "left").filter(F.col("own") | (F.col("template") & F.col("bare")) | F.col("declines")).select("pair_id").distinct().withColumn("refuses", F.lit(True))
+    refused = said.join(templates, "openings", "left").filter(F.col("own") | (F.col("template") & F.col("bare")) | F.col("declined")).select("pair_id").distinct().withColumn("refuses", F.lit(True))
 
     # truncation: how often the last words of open ends end a sentence elsewhere
     def endings(batches):

@@ -72,3 +72,16 @@ def test_openings_of_a_busy_bucket_meet(spark, monkeypatch):
     said += ["please turn to your own dealer first of all about it today", "kindly turn to your own dealer first of all about this today"]
     got = {r.opening: r.cluster for r in pairs._clustered(spark.createDataFrame([(x,) for x in said], "opening STRING")).collect()}
     assert len({got[x] for x in said[1:6]}) == 1 and got[said[6]] == got[said[7]] and len(set(got.values())) == 3
+
+
+def test_short_and_unspaced_copies():
+    assert pairs.covered("Нет связи", "нет связи.") == 1 and pairs.covered("Нет связи", "Связи нет") == 0 and pairs.covered("", "!") == 0
+    q = "请问如何清除控制柜的故障报警并恢复通信"
+    assert pairs.covered(q, f"问题：{q}。") >= 0.8 and pairs.covered(q, "请先检查极性，然后更换电缆并恢复通信。") < 0.8
+
+
+def test_declining_after_a_long_beginning(spark):
+    begin = "Добрый день.\nСпасибо за обращение.\nВы пишете про узел 5.\n"
+    rows = [(1, "Узел 5 не отвечает", begin + "Увы, ответить на это невозможно."), (2, "Узел 5 не отвечает", begin + "Кабель 77 заменили, повторить сбой мы не смогли, помочь иначе нельзя помочь.")]
+    df = spark.createDataFrame([(*r, "2024-01-01") for r in rows], "pair_id BIGINT, problem_summary STRING, solution_summary STRING, created_at STRING")
+    assert {r.pair_id: r.defect for r in pairs.defects(df).collect()} == {1: "refusal"}
