@@ -115,7 +115,8 @@ _ID = re.compile(
     r"|\b(?:national id|id card|identity card|personalausweis|ausweisnummer|ausweis-nr\.?|steuer-?id|sozialversicherungsnummer|driver'?s licen[cs]e)(?:\s*(?:no|number|nr)\b\.?)?\s*[:#]?\s*[A-Z0-9]{0,4}\d{6,11}(?:/\d{2,4})?\b)",
     re.I,
 )
-_ID_WORDS = frozenset("паспорт паспорта снилс инн удостоверение удостоверения загранпаспорт жительство passport reisepass ssn security national id identity personalausweis ausweisnummer ausweis steuer sozialversicherungsnummer licence license".split())
+#: Gates: what every match of a detector begins with or holds, so that they never shut out a match.
+_ID_STEMS = ("паспорт", "снилс", "инн", "удостоверени", "водительск", "вид на жительство", "passport", "reisepass", "ssn", "social security", "national id", "id card", "identity card", "ausweis", "steuer", "sozialversicherungsnummer", "driver")
 
 _RU_STREET = r"(?:ул\.|улиц[аеыу]|пр-т|просп\.|проспект[еа]?|пр\.|пер\.|переулок|переулке|бульвар|б-р|шоссе|ш\.|наб\.|набережная|пл\.|площадь|проезд|тупик|мкр\.)"
 _RU_HOUSE = r"(?:,?\s*(?:д\.|дом|стр\.|строение|влад\.)\s*|,\s*|\s+)\d{1,4}[а-яё]?(?:[/-]\d{1,4})?"
@@ -129,9 +130,13 @@ _ADDRESS_EN = re.compile(
     rf"|(?i:(?<![\d.])\b\d{{1,4}}\s+(?:[a-z]+\s+){{1,3}}{_EN_STREET},\s*(?:apt|flat|unit|suite)\.?\s*\d{{1,4}})"
 )
 _ADDRESS_DE = re.compile(r"(?<![\w-])[A-ZÄÖÜa-zäöüß][A-Za-zäöüÄÖÜß-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer)\s+\d{1,4}[a-z]?\b(?:(?:,|\s+in)\s+\d{5}\s+[A-ZÄÖÜ][a-zäöüß]+)?")
-_RU_STREET_WORDS = frozenset("ул улица улице улицы улицу пр просп проспект проспекте пер переулок переулке бульвар б шоссе ш наб набережная пл площадь проезд тупик мкр".split())
-_EN_ADDRESS_CUE = re.compile(rf"(?:[a-z]\s){_EN_STREET}", re.I)
-_DE_ADDRESS_CUE = re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse|ring|damm|ufer)\s\d")
+_RU_STREET_CUE = re.compile(rf"\b{_RU_STREET}", re.I)
+_RU_STREET_STEMS = ("ул.", "улиц", "пр-т", "просп", "пр.", "пер.", "переул", "бульвар", "б-р", "шоссе", "ш.", "наб.", "набережн", "пл.", "площадь", "проезд", "тупик", "мкр.")
+#: Letters that patterns without case take for others, though their lower case differs.
+_RARE = re.compile("[ſıİᲀ-ᲈ]")
+_NUMBER = re.compile(r"\d+")
+_EN_ADDRESS_CUE = re.compile(rf"(?:[a-z]\s+){_EN_STREET}", re.I)
+_DE_ADDRESS_CUE = re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse|ring|damm|ufer)\s+\d")
 
 _RU_SURNAME = r"[А-ЯЁ][а-яё]+(?:[оеё]в|[иы]н|[оеё]ва|[иы]на|ский|цкий|ская|цкая|енко|чук|дзе|швили|ян)(?:-[А-ЯЁ][а-яё]+)?"
 _INITIALS = re.compile(
@@ -149,6 +154,11 @@ _NEAR = re.compile(r"[ \t]*,?[ \t]+((?:[A-ZА-ЯЁÄÖÜ]\.[ \t]?){1,2}[A-ZА-Я
 _BEFORE = re.compile(r"([A-ZА-ЯЁÄÖÜ][\wа-яё’]+(?:-[A-ZА-ЯЁ][\w]+)?),?[ \t]+$")
 
 
+def _may_spell(text: str, words: set[str]) -> bool:
+    """Whether six digit words and numbers can stand in a row."""
+    return len(words) > 1 or bool(words) and text.lower().count(min(words)) + len(_NUMBER.findall(text)) >= 6
+
+
 def normalise(text: str, present: set[str] | None = None) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The text without disguises, and the rewrites that change lengths as (start, end there, start, end in the source)."""
     if _WIDE.search(text):
@@ -171,7 +181,7 @@ def normalise(text: str, present: set[str] | None = None) -> tuple[str, list[tup
                 new = m["local"] + "@" + _DOT.sub(".", host)
                 if _EMAIL.fullmatch(new):
                     edits.append((m.start(), m.end(), new))
-    if present is None or len(present & _DIGIT_SET) > 1:
+    if present is None or _may_spell(text, present & _DIGIT_SET):
         for m in _SPELLED.finditer(text):
             plus = "+" if m[0][:4].lower() in ("плюс", "plus") else ""
             digits = "".join(DIGITS.get(w.lower(), w) for w in re.findall(r"\w+", m[0]) if w.lower() in DIGITS or w.isdigit())
@@ -257,10 +267,12 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "@" in plain:
         found += [(*m.span(), "EMAIL") for m in _EMAIL.finditer(plain)]
-    if present & _ID_WORDS:
+    low = plain.lower()
+    rare = not low.isascii() and _RARE.search(plain)
+    if rare or any(stem in low for stem in _ID_STEMS):
         found += [(*m.span(), "ID_NUMBER") for m in _ID.finditer(plain)]
     found += [(a, b, "PHONE") for a, b in _phones(plain)]
-    if present & _RU_STREET_WORDS:
+    if rare or any(stem in low for stem in _RU_STREET_STEMS) and _RU_STREET_CUE.search(plain):
         found += [(*m.span(), "ADDRESS") for m in _ADDRESS_RU.finditer(plain)]
     if _EN_ADDRESS_CUE.search(plain):
         found += [(*m.span(), "ADDRESS") for m in _ADDRESS_EN.finditer(plain)]

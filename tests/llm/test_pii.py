@@ -61,3 +61,18 @@ def test_tables(spark):
     assert {(r.rec_id, r.pii_type) for r in pii.types_found(df, "k", "t").collect()} == {(1, "EMAIL"), (None, "PHONE")}
     assert {(r.rec_id, r.masked_text) for r in pii.masked(df, "k", "t", "at").collect()} == {(1, "[EMAIL] и [EMAIL]"), (2, None), (None, "тел. [PHONE]"), (3, "")}
     assert pii.types_found(df.limit(0), "k", "t").count() == 0
+
+
+def test_gates_shut_out_no_match(monkeypatch):
+    texts = ["паспортом 45 10 123456", "удостоверением 12345678", "Reisepassnummer C1234567", "с проспекта Мира, д. 5", "12  Baker  Street, flat 4", "12 Baker  Road", "Hauptstraße  12", "звоните плюс семь семь семь семь семь семь семь семь семь семь семь"]
+    gated = [pii.find(t) for t in texts]
+    assert all(gated)
+
+    class Open:
+        def search(self, text):
+            return True
+
+    for gate in ("_RARE", "_EN_ADDRESS_CUE", "_DE_ADDRESS_CUE"):
+        monkeypatch.setattr(pii, gate, Open())
+    monkeypatch.setattr(pii, "normalise", lambda text, present=None, plain=pii.normalise: plain(text, None))
+    assert [pii.find(t) for t in texts] == gated
