@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskmill.llm import leak, mail, neardup, pairs, pii, sentences, split, tokens
-from deskmill.session import table
+from deskmill.session import materialise, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,16 +34,22 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_records(spark, sf_dir))
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Comments, requests and the names that both teach."""
+    comments, requests = table(spark, sf_dir, "ticket_comments"), table(spark, sf_dir, "ticket_requests")
+    return comments, requests, materialise(pii.learnt_names(comments.select("text").unionByName(requests.select("text"))), "names")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    comments = pii.types_found(table(spark, sf_dir, "ticket_comments"), "comment_id", "text").select(F.lit("comment").alias("src"), "rec_id", "pii_type")
-    requests = pii.types_found(table(spark, sf_dir, "ticket_requests"), "request_id", "text").select(F.lit("request").alias("src"), "rec_id", "pii_type")
-    return comments.unionByName(requests)
+    comments, requests, names = _notes(spark, sf_dir)
+    of_comments = pii.types_found(comments, "comment_id", "text", names).select(F.lit("comment").alias("src"), "rec_id", "pii_type")
+    return of_comments.unionByName(pii.types_found(requests, "request_id", "text", names).select(F.lit("request").alias("src"), "rec_id", "pii_type"))
 
 
 def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    comments = pii.masked(table(spark, sf_dir, "ticket_comments"), "comment_id", "text", "loaded_at").select(F.lit("comment").alias("src"), "rec_id", "masked_text")
-    requests = pii.masked(table(spark, sf_dir, "ticket_requests"), "request_id", "text", "loaded_at").select(F.lit("request").alias("src"), "rec_id", "masked_text")
-    return comments.unionByName(requests)
+    comments, requests, names = _notes(spark, sf_dir)
+    of_comments = pii.masked(comments, "comment_id", "text", "loaded_at", names).select(F.lit("comment").alias("src"), "rec_id", "masked_text")
+    return of_comments.unionByName(pii.masked(requests, "request_id", "text", "loaded_at", names).select(F.lit("request").alias("src"), "rec_id", "masked_text"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
