@@ -31,17 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.llm.words import TAG, WORD
+from deskmill.llm.words import TAG, WORD, hash_batch, mix
 from deskmill.session import materialise
 
 FEATURES = "pair_id BIGINT, at STRING, defect STRING, openings ARRAY<STRING>, declines ARRAY<BOOLEAN>, speaks ARRAY<BOOLEAN>, echoes ARRAY<DOUBLE>, bare BOOLEAN, declined BOOLEAN, prompt BIGINT, topic BIGINT, tails ARRAY<BIGINT>, lang_differs BOOLEAN"
 OPENING_WORDS, MIN_PROMPTS = 12, 3
-PROMPT_WORDS = 8
 #: A template that no rule knows: prompts of so many topics, so much of its words from the prompt at most, so many rows bare.
 MIN_TOPICS, MAX_ECHO, MIN_BARE = 10, 0.34, 0.9
 #: Jaccard of word sets: one other word in six and two in twelve still reach it.
 ALIKE = 0.7
 BANDS, ROWS = 16, 4
+#: Words of the longest sequence that tells whether a text may end there.
+TAIL = 4
 
 # fixed values: what stands for no content, in lower case
 _EMPTY = frozenset(
@@ -52,19 +53,33 @@ _UNSPACED = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾝ]")
 _FENCE = re.compile(r"^\s*```\w*\s*$|```")
 _QUOTED = re.compile(r"«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]|\"[^\"\n]*\"")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\s)\"»”]+|\n+")
-_NUMBERED = re.compile(r"\w*\d\w*")
-_MASK = ((re.compile(r"\b\w*\d[\w.:/-]*"), "9"), (re.compile(r"\b[A-ZА-ЯЁ]{2,}\b(?:[_-]\w+)*"), "v"))
+_TOKEN = re.compile(r"\w+")
+_MASK = ((re.compile(r"(?<!\w)[^\W\d]*\d[\w.:/-]*"), "9"), (re.compile(r"\b[A-ZА-ЯЁ]{2,}\b(?:[_-]\w+)*"), "v"))
 
 _DECLINES = re.compile(
     r"\bне (?:могу|можем|смогу|сможем|вправе|имею (?:доступа|права|возможности)|располагаю|возьмусь|готов\w* (?:дать|ответить))\b|\b(?:ответить|помочь|выполнить|дать)\b.{0,30}\bневозможно\b|\bнельзя\b|\bневозможно (?:ответить|помочь)|"
     r"\bбессил\w+|за рамки моих|вне моей компетенции|\bвоздерж(?:усь|имся)\b|нарушает правила|\b(?:вынужден\w*|приходится) отказать|языковая модель|\bне помогу\b|\bне буду отвечать|"
     r"\b(?:i|we)(?:['’]m| am|['’]re| are)? (?:sorry|afraid|unable|not able)\b|\b(?:i|we) (?:can ?not|can['’]t|could not (?:help|answer|assist)|won['’]t|must decline|have to decline|do not have|don['’]t have)\b|\b(?:i|we)['’]d rather not\b|"
     r"beyond what (?:i|we) can|outside (?:my|our) (?:guidelines|scope|remit)|\b(?:as an? )(?:ai|language model)\b|(?:can ?not|unable to) (?:help|assist|answer|comply)|\bdecline(?:d)? (?:this|to answer)|"
-    r"\bkann ich\b.{0,40}\b(?:nicht|kein\w*)\b|\bich (?:kann|darf|möchte)\b.{0,40}\b(?:nicht|kein\w*)\b|\bsprachmodell\b|\bkeinen zugriff\b|\bnicht (?:beantworten|helfen)\b|außerhalb meiner|\bmuss ich ablehnen\b|den hersteller fragen|"
-    r"无法(?:回答|提供|协助|帮助)|抱歉|不能(?:回答|提供|协助)|作为(?:一个)?(?:AI|语言模型)|お答えできません|申し訳",
-    re.I,
+    r"\bkann ich\b.{0,40}\b(?:nicht|kein\w*)\b|\bich (?:kann|darf|möchte)\b.{0,40}\b(?:nicht|kein\w*)\b|\bsprachmodell\b|\bkeinen zugriff\b|\bnicht (?:beantworten|helfen)\b|außerhalb meiner|\bmuss ich ablehnen\b|"
+    r"无法(?:回答|提供|协助|帮助)|抱歉|不能(?:回答|提供|协助)|作为(?:一个)?(?:ai|语言模型)|お答えできません|申し訳",
 )
-_SPEAKS = re.compile(r"\b(?:я|мне|мои[хм]?|моей|мы|i|i'm|my|we|ich|mir|mein\w*|wir)\b|我|我们|私", re.I)
+#: What every match of the pattern holds: texts without any of them need no search.
+_DECLINE_STEMS = (
+    "не ", "невозможно", "нельзя", "бессил", "за рамки моих", "вне моей компетенции", "воздерж", "нарушает правила", "отказать", "языковая модель",
+    "sorry", "afraid", "unable", "not able", "can not", "cannot", "can't", "can’t", "could not", "won't", "won’t", "decline", "do not have", "don't have", "don’t have", "rather not",
+    "beyond what", "outside", "as a", "kann ich", "ich kann", "ich darf", "ich möchte", "sprachmodell", "keinen zugriff", "nicht beantworten", "nicht helfen", "außerhalb meiner", "ablehnen",
+    "无法", "抱歉", "不能", "作为", "お答え", "申し訳",
+)
+
+
+def declines(text: str) -> bool:
+    """Whether a lower-cased sentence declines in known words."""
+    return any(stem in text for stem in _DECLINE_STEMS) and bool(_DECLINES.search(text))
+
+
+_SPEAKS = frozenset("я мне меня мной мои моих моим моей моя моё мой мы нам нас нами наш наша наше нашей i me my we us our ich mir mich mein meine meiner meinem meinen wir uns unser unsere 我 我们 私".split())
+_SPEAKS_UNSPACED = re.compile("我|私|当社|弊社")
 
 _NEGATIONS = frozenset("не нет нельзя ни без бессилен not no never t cannot without nor nicht kein keine keinen nie ohne".split())
 
@@ -91,11 +106,18 @@ def is_empty(text: str | None) -> bool:
 
 def language(text: str) -> str:
     """Script, and within the Latin script the language by function words; '' where nothing tells."""
-    text = _OPEN_QUOTE.sub(" ", _QUOTED.sub(" ", _clean(text)))
+    text = _clean(text)
+    if _ANY_QUOTE.search(text):
+        text = _OPEN_QUOTE.sub(" ", _QUOTED.sub(" ", text))
+    if not _ODD_SCRIPT.search(text):
+        # two scripts only: their letters, before words are looked at, bound what the words can count
+        cyrillic, latin_letters = len("".join(_CYRILLIC.findall(text))), len("".join(_LATIN.findall(text)))
+        if cyrillic > 2 * latin_letters and any(w.isalpha() for w in _CYRILLIC_WORD.findall(text)):
+            return "ru"
     han = kana = cyr = lat = other = 0
     latin: list[str] = []
-    for w in re.findall(r"[^\W\d_]+(?:[\d_-][\w-]*)?", text):
-        if any(ch.isdigit() or ch == "_" for ch in w):
+    for w in _LANGUAGE_WORD.findall(text):
+        if not w.isalpha():
             continue
         ch = w[0]
         if ch < "ɐ":
@@ -125,6 +147,12 @@ def language(text: str) -> str:
     return best
 
 
+_ANY_QUOTE = re.compile("[«“„\"]")
+_LANGUAGE_WORD = re.compile(r"[^\W\d_]+(?:[\d_-][\w-]*)?")
+_ODD_SCRIPT = re.compile("[^\\W\\d_A-Za-zÀ-ɏЀ-ӿ]")
+_CYRILLIC, _LATIN, _CYRILLIC_WORD = re.compile("[Ѐ-ӿ]+"), re.compile("[A-Za-zÀ-ɏ]+"), re.compile(r"(?<![\w-])[Ѐ-ӿ]+(?![\w-])")
+
+
 def _differs(a: str, b: str) -> bool:
     latin = {"en", "de", "fr", "es", "latin"}
     return bool(a and b) and a != b and not ("latin" in (a, b) and {a, b} <= latin)
@@ -152,21 +180,20 @@ def _masked(text: str) -> str:
     return text.lower()
 
 
+def _numbered(text: str) -> set[str]:
+    return {w for w in _TOKEN.findall(text) if not w.isalpha() and any(ch.isdigit() for ch in w)}
+
+
 def is_bare(problem: str, response: str) -> bool:
     """Whether the response names no number or identifier but the problem's."""
-    return set(_NUMBERED.findall(_clean(response).lower())) <= set(_NUMBERED.findall(_clean(problem).lower()))
+    own = _numbered(_clean(response).lower())
+    return not own or own <= _numbered(_clean(problem).lower())
 
 
-def _echo(part: str, problem: str) -> float:
+def _echo(words: list[str], asked: set[str]) -> float:
     """Share of the longer words that the problem has as well."""
-    words = {w for w in WORD.findall(part.lower()) if len(w) >= 4}
-    return len(words & set(WORD.findall(problem.lower()))) / len(words) if words else 0.0
-
-
-def _topic(problem: str) -> int:
-    """The least word pair of the problem by hash: problems that say nearly the same mostly agree in it."""
-    w = WORD.findall(_masked(problem))
-    return min(_seq(w[i : i + 2]) for i in range(max(1, len(w) - 1)))
+    own = {w for w in words if len(w) >= 4}
+    return len(own & asked) / len(own) if own else 0.0
 
 
 def sentences(text: str) -> list[str]:
@@ -181,6 +208,33 @@ def _seq(words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63)
 
 
+def speaks(words: list[str], text: str) -> bool:
+    """Whether the responder speaks of itself."""
+    return not _SPEAKS.isdisjoint(words) or bool(_SPEAKS_UNSPACED.search(text))
+
+
+def _asked(problems: list[str]) -> list[tuple[int, int, list[str]]]:
+    """(hash of the problem, its topic, its words) of each; the topic is the least word pair by hash: problems that say nearly the same mostly agree in it."""
+    masked = [WORD.findall(_masked(p)) or [""] for p in problems]
+    hashes, at = hash_batch(masked)
+    paired = np.append(mix(hashes, 2), hashes[-1:])
+    # the pair over a list's end counts for a list of one word only
+    over = at[1:] - 1
+    paired[over] = np.where(np.diff(at) == 1, hashes[over], np.iinfo(np.uint64).max)
+    topics = np.minimum.reduceat(paired, at[:-1]).view(np.int64).tolist() if len(masked) else []
+    return [(_seq(m), topic, WORD.findall(p.lower())) for m, topic, p in zip(masked, topics, problems)]
+
+
+def _copies(problem: str, asked: list[str], response: str) -> bool:
+    """Whether :func:`covered` reaches 0.8; words that the problem hasn't at all rule most out before any are counted."""
+    if not _UNSPACED.search(response) and "<" not in problem and "&" not in problem:
+        words = WORD.findall(_clean(response).lower())
+        have = set(asked)
+        if len(words) >= 5 and sum(w in have for w in words) < 0.8 * len(words):
+            return False
+    return covered(problem, response) >= 0.8
+
+
 def open_end(text: str) -> str:
     """'cut' where the end can't be whole, 'whole' where it has its end mark, else 'open'."""
     t = text.rstrip().rstrip("*_").rstrip()
@@ -204,17 +258,35 @@ def _tail_words(text: str) -> list[str]:
     return WORD.findall(_masked(_PROPER.sub("n", _clean(text))))
 
 
-def _endings(text: str, out: Counter) -> None:
-    """Counts sequences of one to four words: as (hash, ends a sentence)."""
-    parts = [p for p in _SENTENCE.split(_clean(text)) if p.strip()]
-    closed = text.rstrip()[-1:] in ".!?。！？»\")"
-    for n, part in enumerate(parts):
-        w = _tail_words(part)
-        for k in (1, 2, 3, 4):
-            for i in range(len(w) - k):
-                out[_seq(w[i : i + k]), False] += 1
-            if len(w) >= k and (n + 1 < len(parts) or closed):
-                out[_seq(w[-k:]), True] += 1
+def _endings(texts: list[str]) -> pd.DataFrame:
+    """(tail, ends, goes_on): how often each sequence of one to four words ends a sentence and how often it goes on."""
+    lists, closes = [], []
+    for text in texts:
+        parts = [p for p in _SENTENCE.split(_clean(text)) if p.strip()]
+        closed = text.rstrip()[-1:] in ".!?。！？»\")"
+        lists += [_tail_words(p) for p in parts]
+        closes += [n + 1 < len(parts) or closed for n in range(len(parts))]
+    hashes, at = hash_batch(lists)
+    last, closing = np.repeat(at[1:], np.diff(at)), np.repeat(np.array(closes, dtype=bool), np.diff(at))
+    keys, ends = [], []
+    for k in range(1, TAIL + 1):
+        mixed = mix(hashes, k)
+        after = np.arange(len(mixed)) + k
+        stops = last[: len(mixed)]
+        use = (after < stops) | ((after == stops) & closing[: len(mixed)])
+        keys.append(mixed[use])
+        ends.append((after == stops)[use])
+    key, at_end = np.concatenate(keys).view(np.int64), np.concatenate(ends)
+    tails, place = np.unique(key, return_inverse=True)
+    n_ends = np.bincount(place, weights=at_end, minlength=len(tails)).astype(np.int64)
+    return pd.DataFrame({"tail": tails, "ends": n_ends, "goes_on": np.bincount(place, minlength=len(tails)) - n_ends})
+
+
+def _tails(lists: list[list[str]]) -> list[list[int]]:
+    """Of each word list the hashes of its last four words down to its last one, as :func:`_endings` makes them; [0] for no words."""
+    hashes, at = hash_batch([w[-TAIL:] for w in lists])
+    mixed = {k: mix(hashes, k).view(np.int64) for k in range(1, TAIL + 1)}
+    return [[int(mixed[k][b - k]) for k in range(TAIL, 0, -1) if b - a >= k] or [0] for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
 def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "problem_summary", solution_col: str = "solution_summary", order_col: str = "created_at") -> DataFrame:
@@ -223,26 +295,29 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
 
     def features(batches):
         for batch in batches:
-            out = []
-            for key, problem, solution, at in zip(batch["pair_id"], batch["problem"], batch["solution"], batch["at"]):
-                problem = problem if isinstance(problem, str) else ""
-                prompt = _seq(WORD.findall(_masked(problem))[:PROMPT_WORDS])
+            out, open_ends = [], []
+            problems = [p if isinstance(p, str) else "" for p in batch["problem"]]
+            for key, problem, (prompt, topic, asked), solution, at in zip(batch["pair_id"], problems, _asked(problems), batch["solution"], batch["at"]):
                 if not isinstance(solution, str) or is_empty(solution):
-                    out.append((key, at, "empty", [], [], [], [], False, False, prompt, prompt, [], False))
+                    out.append([key, at, "empty", [], [], [], [], False, False, prompt, topic, [], False])
                     continue
-                defect = "copy" if covered(problem, solution) >= 0.8 else None
-                said_all = sentences(solution)
-                parts, bare = said_all[:3], is_bare(problem, solution)
+                defect, have = ("copy" if _copies(problem, asked, solution) else None), set(asked)
+                said, bare = sentences(solution), is_bare(problem, solution)
                 # a sentence below the opening ones declines where no findings of the response's own stand beside it
-                declined = any(_DECLINES.search(p) for p in (said_all if bare else parts))
+                may = any(stem in solution.lower() for stem in _DECLINE_STEMS) or "<" in solution or "&" in solution
+                declining = [may and declines(p.lower()) for p in (said if bare else said[:3])]
+                first = [WORD.findall(p.lower()) for p in said[:3]]
+                out.append([
+                    key, at, defect, [" ".join(WORD.findall(_masked(p))[:OPENING_WORDS]) for p in said[:3]], declining[:3], [speaks(w, p) for w, p in zip(first, said)],
+                    [_echo(w, have) for w in first], bare, any(declining), prompt, topic, [], _differs(language(problem), language(solution)),
+                ])
                 end = open_end(solution)
-                tails: list[int] = []
                 if end == "cut":
-                    tails = [0]
+                    out[-1][11] = [0]
                 elif end == "open":
-                    w = _tail_words(_SENTENCE.split(_clean(solution).rstrip().removesuffix("```").rstrip())[-1])
-                    tails = [_seq(w[-k:]) for k in (4, 3, 2, 1) if len(w) >= k] or [0]
-                out.append((key, at, defect, openings(solution), [bool(_DECLINES.search(p)) for p in parts], [bool(_SPEAKS.search(p)) for p in parts], [_echo(p, problem) for p in parts], bare, declined, prompt, _topic(problem), tails, _differs(language(problem), language(solution))))
+                    open_ends.append((len(out) - 1, _tail_words(_SENTENCE.split(_clean(solution).rstrip().removesuffix("```").rstrip())[-1])))
+            for (i, _), tails in zip(open_ends, _tails([w for _, w in open_ends])):
+                out[i][11] = tails
             yield pd.DataFrame(out, columns=["pair_id", "at", "defect", "openings", "declines", "speaks", "echoes", "bare", "declined", "prompt", "topic", "tails", "lang_differs"])
 
     seen = rows.mapInPandas(features, FEATURES)
@@ -273,14 +348,7 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
     # truncation: how often the last words of open ends end a sentence elsewhere
     def endings(batches):
         for batch in batches:
-            count: Counter = Counter()
-            for text in batch["text"]:
-                if isinstance(text, str) and text.strip():
-                    _endings(text, count)
-            keys = np.array([k for k, _ in count], dtype=np.int64)
-            ends = np.array([e for _, e in count], dtype=bool)
-            n = np.array(list(count.values()), dtype=np.int64)
-            yield pd.DataFrame({"tail": keys, "ends": np.where(ends, n, 0), "goes_on": np.where(ends, 0, n)})
+            yield _endings([t for t in batch["text"] if isinstance(t, str) and t.strip()])
 
     opened = one.filter(F.col("defect").isNull()).select("pair_id", F.posexplode("tails").alias("rank", "tail"))
     wanted = opened.select("tail").distinct()
