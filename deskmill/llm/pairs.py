@@ -6,9 +6,11 @@
   (a name, a synonym) are joined exactly by keys without that run; clusters are the connected components of both. What is
   counted is how many unrelated prompts a cluster's openings answer, and how many of its rows speak of declining. A
   template that recurs over unrelated prompts and declines marks its responses, also those that say it in words no rule
-  knows. So does one in words that no rule knows at all, if it speaks in the first person over prompts of many topics,
-  takes little from them, nearly always stands in responses without numbers of their own, and mostly has words that
-  responses with such numbers do not use. A response that declines plainly is marked without a cluster as well, wherever it does so.
+  knows. So does one in words that no rule knows at all, if it answers prompts of many topics, takes little from them,
+  nearly always stands in responses without numbers of their own, and mostly has words that responses with such numbers
+  do not use. Only openings that stand in a response without findings of its own, or that decline, can be such a
+  template's, and only they are clustered. A response that declines plainly is marked without a cluster as well, wherever
+  it does so.
 * *Truncation.* A response without end mark may still be whole. Counts over the whole table tell how often its last
   words end a sentence and how often they go on; the longest word sequence with evidence decides.
 * *Copy* is word coverage by the problem, *other_language* compares scripts and function words, *empty* knows fillers.
@@ -34,12 +36,14 @@ from pyspark.sql import functions as F
 from deskmill.llm.words import TAG, WORD, hash_batch, mix
 from deskmill.session import materialise
 
-FEATURES = "pair_id BIGINT, at STRING, defect STRING, openings ARRAY<STRING>, declines ARRAY<BOOLEAN>, speaks ARRAY<BOOLEAN>, echoes ARRAY<DOUBLE>, bare BOOLEAN, declined BOOLEAN, prompt BIGINT, topic BIGINT, tails ARRAY<BIGINT>, lang_differs BOOLEAN"
+FEATURES = "pair_id BIGINT, at STRING, defect STRING, openings ARRAY<STRING>, declines ARRAY<BOOLEAN>, echoes ARRAY<DOUBLE>, bare BOOLEAN, declined BOOLEAN, prompt BIGINT, topic BIGINT, tails ARRAY<BIGINT>, lang_differs BOOLEAN"
 OPENING_WORDS, MIN_PROMPTS = 12, 3
 #: A template that no rule knows: prompts of so many topics, so much of its words from the prompt at most, so many rows bare.
 MIN_TOPICS, MAX_ECHO, MIN_BARE = 10, 0.34, 0.9
 #: Jaccard of word sets: one other word in six and two in twelve still reach it.
 ALIKE = 0.7
+#: Prompts and topics of an opening are counted by hash bucket, so that no set grows with its rows; a count up to MIN_TOPICS is rarely short by one.
+BUCKETS = 1024
 BANDS, ROWS = 16, 4
 #: Words of the longest sequence that tells whether a text may end there.
 TAIL = 4
@@ -78,9 +82,6 @@ def declines(text: str) -> bool:
     return any(stem in text for stem in _DECLINE_STEMS) and bool(_DECLINES.search(text))
 
 
-_SPEAKS = frozenset("я мне меня мной мои моих моим моей моя моё мой мы нам нас нами наш наша наше нашей i me my we us our ich mir mich mein meine meiner meinem meinen wir uns unser unsere 我 我们 私".split())
-_SPEAKS_UNSPACED = re.compile("我|私|当社|弊社")
-
 _NEGATIONS = frozenset("не нет нельзя ни без бессилен not no never t cannot without nor nicht kein keine keinen nie ohne".split())
 
 _STOP = {
@@ -197,7 +198,11 @@ def _echo(words: list[str], asked: set[str]) -> float:
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(_QUOTED.sub(" q ", _clean(text))) if s and any(ch.isalnum() for ch in s)]
+    """Sentences without what they quote, be the quotation closed or broken off."""
+    text = _clean(text)
+    if _ANY_QUOTE.search(text):
+        text = _OPEN_QUOTE.sub(" q", _QUOTED.sub(" q ", text))
+    return [s for s in _SENTENCE.split(text) if s and any(ch.isalnum() for ch in s)]
 
 
 def openings(text: str) -> list[str]:
@@ -208,11 +213,6 @@ def _seq(words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63)
 
 
-def speaks(words: list[str], text: str) -> bool:
-    """Whether the responder speaks of itself."""
-    return not _SPEAKS.isdisjoint(words) or bool(_SPEAKS_UNSPACED.search(text))
-
-
 def _asked(problems: list[str]) -> list[tuple[int, int, list[str]]]:
     """(hash of the problem, its topic, its words) of each; the topic is the least word pair by hash: problems that say nearly the same mostly agree in it."""
     masked = [WORD.findall(_masked(p)) or [""] for p in problems]
@@ -289,8 +289,8 @@ def _tails(lists: list[list[str]]) -> list[list[int]]:
     return [[int(mixed[k][b - k]) for k in range(TAIL, 0, -1) if b - a >= k] or [0] for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
-def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "problem_summary", solution_col: str = "solution_summary", order_col: str = "created_at") -> DataFrame:
-    """(pair_id, defect) of every defective pair."""
+def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "problem_summary", solution_col: str = "solution_summary", order_col: str = "created_at", phrases: bool = True) -> DataFrame:
+    """(pair_id, defect) of every defective pair. Without ``phrases`` refusals are found by recurrence alone."""
     rows = pairs.select(F.col(id_col).alias("pair_id"), F.col(problem_col).alias("problem"), F.col(solution_col).alias("solution"), F.col(order_col).cast("string").alias("at"))
 
     def features(batches):
@@ -299,39 +299,42 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
             problems = [p if isinstance(p, str) else "" for p in batch["problem"]]
             for key, problem, (prompt, topic, asked), solution, at in zip(batch["pair_id"], problems, _asked(problems), batch["solution"], batch["at"]):
                 if not isinstance(solution, str) or is_empty(solution):
-                    out.append([key, at, "empty", [], [], [], [], False, False, prompt, topic, [], False])
+                    out.append([key, at, "empty", [], [], [], False, False, prompt, topic, [], False])
                     continue
                 defect, have = ("copy" if _copies(problem, asked, solution) else None), set(asked)
                 said, bare = sentences(solution), is_bare(problem, solution)
                 # a sentence below the opening ones declines where no findings of the response's own stand beside it
-                may = any(stem in solution.lower() for stem in _DECLINE_STEMS) or "<" in solution or "&" in solution
+                may = phrases and any(stem in solution.lower() for stem in _DECLINE_STEMS) or phrases and ("<" in solution or "&" in solution)
                 declining = [may and declines(p.lower()) for p in (said if bare else said[:3])]
                 first = [WORD.findall(p.lower()) for p in said[:3]]
                 out.append([
-                    key, at, defect, [" ".join(WORD.findall(_masked(p))[:OPENING_WORDS]) for p in said[:3]], declining[:3], [speaks(w, p) for w, p in zip(first, said)],
+                    key, at, defect, [" ".join(WORD.findall(_masked(p))[:OPENING_WORDS]) for p in said[:3]], declining[:3],
                     [_echo(w, have) for w in first], bare, any(declining), prompt, topic, [], _differs(language(problem), language(solution)),
                 ])
                 end = open_end(solution)
                 if end == "cut":
-                    out[-1][11] = [0]
+                    out[-1][10] = [0]
                 elif end == "open":
                     open_ends.append((len(out) - 1, _tail_words(_SENTENCE.split(_clean(solution).rstrip().removesuffix("```").rstrip())[-1])))
             for (i, _), tails in zip(open_ends, _tails([w for _, w in open_ends])):
-                out[i][11] = tails
-            yield pd.DataFrame(out, columns=["pair_id", "at", "defect", "openings", "declines", "speaks", "echoes", "bare", "declined", "prompt", "topic", "tails", "lang_differs"])
+                out[i][10] = tails
+            yield pd.DataFrame(out, columns=["pair_id", "at", "defect", "openings", "declines", "echoes", "bare", "declined", "prompt", "topic", "tails", "lang_differs"])
 
     seen = rows.mapInPandas(features, FEATURES)
     one = materialise(seen.groupBy("pair_id").agg(F.max_by(F.struct(*[c for c in seen.columns if c != "pair_id"]), F.struct("at", F.xxhash64("defect", "openings"))).alias("f")).select("pair_id", "f.*"), "pair-features")
 
     # refusals: cluster the openings
-    said = one.filter(F.col("defect").isNull()).select("pair_id", "prompt", "topic", "bare", "declined", F.explode(F.arrays_zip("openings", "declines", "speaks", "echoes")).alias("o")).select("pair_id", "prompt", "topic", "bare", "declined", "o.*")
-    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in ("declines", "speaks", "echoes", "bare")]
-    kinds = materialise(said.groupBy(F.col("openings").alias("opening")).agg(F.collect_set(F.pmod("prompt", F.lit(1024))).alias("prompts"), F.collect_set(F.pmod("topic", F.lit(1024))).alias("topics"), F.count("*").alias("n"), *sums), "openings")
-    clusters = materialise(_clustered(kinds), "clusters")
+    said = one.filter(F.col("defect").isNull()).select("pair_id", "prompt", "topic", "bare", "declined", F.explode(F.arrays_zip("openings", "declines", "echoes")).alias("o")).select("pair_id", "prompt", "topic", "bare", "declined", "o.*")
+    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in ("declines", "echoes", "bare")]
+    # only an opening of a response that brings nothing of its own, or that declines, can be a refusal's: these are counted by prompt and clustered
+    able = F.col("bare") | F.col("declines")
+    buckets = [F.collect_set(F.when(able, F.pmod(c, F.lit(BUCKETS)))).alias(f"{c}s") for c in ("prompt", "topic")]
+    kinds = materialise(said.groupBy(F.col("openings").alias("opening")).agg(*buckets, F.count("*").alias("n"), *sums), "openings")
+    clusters = materialise(_clustered(kinds.filter((F.col("bare") > 0) | (F.col("declines") > 0))), "clusters")
     several = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    stats = clusters.groupBy("cluster").agg(several("prompts"), several("topics"), *[F.sum(c).alias(c) for c in ("n", "declines", "speaks", "echoes", "bare")])
+    stats = clusters.groupBy("cluster").agg(several("prompts"), several("topics"), *[F.sum(c).alias(c) for c in ("n", "declines", "echoes", "bare")])
     known = (F.col("prompts") >= MIN_PROMPTS) & (F.col("declines") * 2 >= F.col("n"))
-    unknown = (F.col("topics") >= MIN_TOPICS) & (F.col("speaks") * 2 >= F.col("n")) & (F.col("bare") >= MIN_BARE * F.col("n")) & (F.col("echoes") <= MAX_ECHO * F.col("n"))
+    unknown = (F.col("topics") >= MIN_TOPICS) & (F.col("bare") >= MIN_BARE * F.col("n")) & (F.col("echoes") <= MAX_ECHO * F.col("n"))
     judged = stats.filter(known | unknown).select("cluster", known.alias("known"))
     maybe = clusters.join(judged, "cluster")
     # a template no rule knows has words of its own: what answers with findings of their own say as well is an answer

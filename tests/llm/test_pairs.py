@@ -85,3 +85,57 @@ def test_declining_after_a_long_beginning(spark):
     rows = [(1, "Узел 5 не отвечает", begin + "Увы, ответить на это невозможно."), (2, "Узел 5 не отвечает", begin + "Кабель 77 заменили, повторить сбой мы не смогли, помочь иначе нельзя помочь.")]
     df = spark.createDataFrame([(*r, "2024-01-01") for r in rows], "pair_id BIGINT, problem_summary STRING, solution_summary STRING, created_at STRING")
     assert {r.pair_id: r.defect for r in pairs.defects(df).collect()} == {1: "refusal"}
+
+
+def _brute_clusters(said):
+    label = {x: x for x in said}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, x in enumerate(said):
+        for y in said[:i]:
+            if pairs._alike(pairs._word_set(x), pairs._word_set(y)) >= pairs.ALIKE:
+                label[root(x)] = root(y)
+    return {x: root(x) for x in said}
+
+
+def test_clusters_against_brute_force(spark):
+    import random
+
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    said = set()
+    for _ in range(60):
+        base = draw.sample(words, draw.randint(5, 12))
+        for _ in range(draw.randint(1, 6)):
+            other = list(base)
+            for _ in range(draw.randint(0, 2)):
+                other[draw.randrange(len(other))] = draw.choice(words)
+            said.add(" ".join(other))
+    said = sorted(said)
+    want = _brute_clusters(said)
+    got = {r.opening: r.cluster for r in pairs._clustered(spark.createDataFrame([(x,) for x in said], "opening STRING")).collect()}
+    both = [(x, y) for i, x in enumerate(said) for y in said[:i] if want[x] == want[y]]
+    found = sum(got[x] == got[y] for x, y in both)
+    assert len(both) > 100 and found >= 0.9 * len(both)
+
+
+def test_unseen_template_without_the_phrase_list(spark):
+    things = "шкаф насос щит кабель датчик привод клапан шлюз экран сервер монитор журнал котёл вентиль реле модуль пульт станция линия узел".split()
+    asked = [f"{t.capitalize()} {things[i * 7 % 20]} {things[i * 3 % 20]} не отвечает {things[i * 11 % 20]}" for i, t in enumerate(things)]
+    rows = [(i, q, "Данная тема мной не обсуждается, прошу понять.") for i, q in enumerate(asked)]
+    rows += [(100 + i, q, "This question falls to somebody else.") for i, q in enumerate(asked)]
+    rows += [(200 + i, q, f"Заменили предохранитель {i + 70}, связь восстановлена.") for i, q in enumerate(asked)]
+    rows += [(300 + i, asked[0], "Сегодня отвечает начальник смены лично.") for i in range(20)]
+    df = spark.createDataFrame([(*r, "2024-01-01") for r in rows], "pair_id BIGINT, problem_summary STRING, solution_summary STRING, created_at STRING")
+    got = {r.pair_id for r in pairs.defects(df, phrases=False).filter("defect = 'refusal'").collect()}
+    assert got == {*range(20), *range(100, 120)} - {r.pair_id for r in pairs.defects(df).filter("defect = 'other_language'").collect()}
+
+
+def test_a_quotation_that_breaks_off_is_no_refusal(spark):
+    rows = [(i, f"Узел {i} не отвечает на запросы", "Портал отвечал «не могу выполнить запрос 5", "2024-01-01") for i in range(8)]
+    df = spark.createDataFrame(rows, "pair_id BIGINT, problem_summary STRING, solution_summary STRING, created_at STRING")
+    assert {r.defect for r in pairs.defects(df).collect()} == {"truncated"}
