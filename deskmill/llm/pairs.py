@@ -52,12 +52,14 @@ TAIL = 4
 _EMPTY = frozenset(
     "n/a na none null nil nan tbd todo - -- --- — – . .. ... … [] {} () нет пусто отсутствует б/н unknown empty keine k.a. entfällt unbekannt".split()
 ) | {"нет данных", "не указано", "не задано", "no answer", "no solution", "keine angabe", "нет ответа", "без ответа", "not specified", "нет решения", "nicht angegeben"}
+#: No filler is longer.
+LONGEST_EMPTY = 64
 _INVISIBLE = re.compile("[\\s​-‏⁠﻿­ ]+")
 _UNSPACED = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾝ]")
 _FENCE = re.compile(r"^\s*```\w*\s*$|```")
 _QUOTED = re.compile(r"«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]|\"[^\"\n]*\"")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\s)\"»”]+|\n+")
-_TOKEN = re.compile(r"\w+")
+_NUMBERED = re.compile(r"(?<!\w)[^\W\d]*\d\w*")
 _MASK = ((re.compile(r"(?<!\w)[^\W\d]*\d[\w.:/-]*"), "9"), (re.compile(r"\b[A-ZА-ЯЁ]{2,}\b(?:[_-]\w+)*"), "v"))
 
 _DECLINES = re.compile(
@@ -101,6 +103,8 @@ def _clean(text: str) -> str:
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
+    if len(text) > LONGEST_EMPTY and "<" not in text and "&" not in text and text[:1].isalnum():
+        return False
     bare = _INVISIBLE.sub(" ", _clean(text)).strip().strip("*_`#").strip().lower()
     return not bare or bare.rstrip(".!") in _EMPTY or bare in _EMPTY or not any(ch.isalnum() for ch in bare)
 
@@ -110,11 +114,6 @@ def language(text: str) -> str:
     text = _clean(text)
     if _ANY_QUOTE.search(text):
         text = _OPEN_QUOTE.sub(" ", _QUOTED.sub(" ", text))
-    if not _ODD_SCRIPT.search(text):
-        # two scripts only: their letters, before words are looked at, bound what the words can count
-        cyrillic, latin_letters = len("".join(_CYRILLIC.findall(text))), len("".join(_LATIN.findall(text)))
-        if cyrillic > 2 * latin_letters and any(w.isalpha() for w in _CYRILLIC_WORD.findall(text)):
-            return "ru"
     han = kana = cyr = lat = other = 0
     latin: list[str] = []
     for w in _LANGUAGE_WORD.findall(text):
@@ -150,8 +149,23 @@ def language(text: str) -> str:
 
 _ANY_QUOTE = re.compile("[«“„\"]")
 _LANGUAGE_WORD = re.compile(r"[^\W\d_]+(?:[\d_-][\w-]*)?")
-_ODD_SCRIPT = re.compile("[^\\W\\d_A-Za-zÀ-ɏЀ-ӿ]")
-_CYRILLIC, _LATIN, _CYRILLIC_WORD = re.compile("[Ѐ-ӿ]+"), re.compile("[A-Za-zÀ-ɏ]+"), re.compile(r"(?<![\w-])[Ѐ-ӿ]+(?![\w-])")
+_CYRILLIC_WORD = re.compile(r"(?<![\w-])[Ѐ-ӿ]+(?![\w-])")
+
+
+def languages(texts: list[str]) -> list[str]:
+    """:func:`language` of each. Texts of two scripts with Cyrillic prevailing are told by counts of letters over the whole batch."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    if not len(starts):
+        return []
+    cyrillic = (codes >= 0x400) & (codes < 0x500)
+    folded = codes | 32
+    latin = (folded >= 97) & (folded <= 122) | (codes >= 0xC0) & (codes < 0x250)
+    #: letters of other scripts, quotations, markup: looked at word by word
+    other = (codes >= 0x250) & ~cyrillic & ~((codes >= 0x2000) & (codes < 0x2C00)) | np.isin(codes, np.array([ord(c) for c in '<&"«“„'], dtype=np.uint32))
+    n = [np.add.reduceat(x.astype(np.int32), starts) for x in (cyrillic, latin, other)]
+    plain = ((n[0] > 2 * n[1]) & (n[2] == 0)).tolist()
+    return ["ru" if p and _CYRILLIC_WORD.search(t) else language(t) for p, t in zip(plain, texts)]
 
 
 def _differs(a: str, b: str) -> bool:
@@ -181,14 +195,10 @@ def _masked(text: str) -> str:
     return text.lower()
 
 
-def _numbered(text: str) -> set[str]:
-    return {w for w in _TOKEN.findall(text) if not w.isalpha() and any(ch.isdigit() for ch in w)}
-
-
 def is_bare(problem: str, response: str) -> bool:
     """Whether the response names no number or identifier but the problem's."""
-    own = _numbered(_clean(response).lower())
-    return not own or own <= _numbered(_clean(problem).lower())
+    own = set(_NUMBERED.findall(_clean(response).lower()))
+    return not own or own <= set(_NUMBERED.findall(_clean(problem).lower()))
 
 
 def _echo(words: list[str], asked: set[str]) -> float:
@@ -297,8 +307,10 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
         for batch in batches:
             out, open_ends = [], []
             problems = [p if isinstance(p, str) else "" for p in batch["problem"]]
-            for key, problem, (prompt, topic, asked), solution, at in zip(batch["pair_id"], problems, _asked(problems), batch["solution"], batch["at"]):
-                if not isinstance(solution, str) or is_empty(solution):
+            solutions = [s if isinstance(s, str) else "" for s in batch["solution"]]
+            differs = [_differs(a, b) for a, b in zip(languages(problems), languages(solutions))]
+            for key, problem, (prompt, topic, asked), solution, differing, at in zip(batch["pair_id"], problems, _asked(problems), solutions, differs, batch["at"]):
+                if is_empty(solution):
                     out.append([key, at, "empty", [], [], [], False, False, prompt, topic, [], False])
                     continue
                 defect, have = ("copy" if _copies(problem, asked, solution) else None), set(asked)
@@ -309,7 +321,7 @@ def defects(pairs: DataFrame, id_col: str = "pair_id", problem_col: str = "probl
                 first = [WORD.findall(p.lower()) for p in said[:3]]
                 out.append([
                     key, at, defect, [" ".join(WORD.findall(_masked(p))[:OPENING_WORDS]) for p in said[:3]], declining[:3],
-                    [_echo(w, have) for w in first], bare, any(declining), prompt, topic, [], _differs(language(problem), language(solution)),
+                    [_echo(w, have) for w in first], bare, any(declining), prompt, topic, [], differing,
                 ])
                 end = open_end(solution)
                 if end == "cut":
