@@ -189,3 +189,16 @@ def test_profiles():
     for bad in ({"top_k_retrieval": 0}, {"top_k_final": 11}, {"rerank_threshold": 1.5}):
         with pytest.raises(ValueError):
             RetrievalProfile(**bad)
+
+
+def test_written_tables_are_removed(spark):
+    import os
+
+    from deskmill import session
+
+    one, two = (session.materialise(spark.range(3).withColumnRenamed("id", "n"), "probe") for _ in range(2))
+    path = one._written_to
+    assert os.path.isdir(path) and one.count() == 3
+    session.discard(one)
+    assert not os.path.isdir(path) and two.count() == 3
+    session.discard(spark.range(1))
