@@ -14,7 +14,9 @@
    largest overlap that can still follow; all other groups are never opened.
 5. *Opening.* Only qualifying groups are joined, and each pair of their members is verified on the whole token sets.
 
-Nothing grows with the corpus on the driver or in a broadcast: the two sketches have fixed sizes (``BITS``).
+Nothing grows with the corpus on the driver or in a broadcast: the two sketches have fixed sizes (``BITS``). Where a
+corpus has many more tokens than slots, counts only tell frequent tokens from rare ones and tokens held once are no
+longer left out: the matrix then has every prefix token of every text, and the result stays the same.
 
 Defined cases: null and blank texts and texts under ``k`` words have no tokens and never count; records delivered
 several times count once; copies are pairs of similarity 1; equal ids in different sources are different records.
@@ -33,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.llm import words as W
-from deskmill.session import materialise
+from deskmill.session import discard, materialise
 
 GROUP, SHARED, BITS, DEPTH, PARTS, MAX_IDS = 32, 3, 24, 2, 32, 50_000
 INDEX_BITS = 24
+#: Ids of a list of copies that meet at a time.
+BLOCK = 500
 #: Hashes whose least tokens make up a group's key: texts that only share boilerplate rarely agree in all of them.
 KEY_HASHES = 3
 _TOKEN_BITS = np.uint64(40)
@@ -174,8 +178,10 @@ def _counted(groups: DataFrame, pick, bits: int, depth: int = 1) -> np.ndarray:
     for _ in range(2):
         lanes = lanes.groupBy("part", "lane").applyInPandas(add, kind)
     out = np.zeros((depth * PARTS, step), dtype=np.uint8)
-    for row in lanes.groupBy("part").applyInPandas(add, kind).collect():
-        out[row.part] = np.frombuffer(zlib.decompress(row.codes), np.uint8)
+    # what reaches the driver has its full, fixed size at any number of texts
+    plain = lanes.groupBy("part").applyInPandas(lambda pdf: add(pdf).assign(codes=lambda x: [zlib.decompress(b) for b in x["codes"]]), kind)
+    for row in plain.collect():
+        out[row.part] = np.frombuffer(row.codes, np.uint8)
     return out.reshape(depth, 1 << bits)
 
 
@@ -319,11 +325,16 @@ def grouped(records: DataFrame, k: int) -> DataFrame:
     return materialise(_groups(_sets(records.select("src", "id", "text").filter(F.col("text").isNotNull() & F.col("id").isNotNull()), k)), "groups")
 
 
-def members(groups: DataFrame) -> DataFrame:
-    """(member, src, id) of every record that has tokens."""
+def _listed(groups: DataFrame) -> DataFrame:
+    """(member, src, ids) of every member."""
     place = groups.select("gid", "src", "ids", F.posexplode("counts").alias("place", "n"), F.col("counts").alias("counts"))
     start = F.aggregate(F.slice("counts", 1, F.col("place")), F.lit(0), lambda s, x: s + x)
-    return place.select((F.col("gid") * GROUP + F.col("place")).alias("member"), "src", F.explode(F.slice("ids", start + 1, F.col("n"))).alias("id"))
+    return place.select((F.col("gid") * GROUP + F.col("place")).alias("member"), "src", F.slice("ids", start + 1, F.col("n")).alias("ids"))
+
+
+def members(groups: DataFrame) -> DataFrame:
+    """(member, src, id) of every record that has tokens."""
+    return _listed(groups).select("member", "src", F.explode("ids").alias("id"))
 
 
 def record_pairs(records: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -333,13 +344,21 @@ def record_pairs(records: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     m = members(groups)
     a, b = m.select(F.col("member").alias("a"), "src", F.col("id").alias("x")), m.select(F.col("member").alias("b"), F.col("id").alias("y"))
     cross = pairs.select("a", "b").join(a, "a").join(b, "b").select("src", "x", "y")
-    # copies: only members that list several records take part
-    several = members(groups.filter(F.exists("counts", lambda n: n > 1)))
-    copies = several.select("member", "src", F.col("id").alias("x")).join(several.select("member", F.col("id").alias("y")), "member").filter(F.col("x") < F.col("y")).select("src", "x", "y")
+    copies = _copies(groups)
     both = cross.unionByName(copies).filter(F.col("x") != F.col("y"))
     return both.select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def _copies(groups: DataFrame) -> DataFrame:
+    """(src, x, y) of the records listed by one member. Lists meet in blocks of ``BLOCK`` ids, so that many copies of one text are spread over many tasks."""
+    lists = _listed(groups.filter(F.exists("counts", lambda n: n > 1))).filter(F.size("ids") > 1)
+    cut = lambda k: F.slice("ids", F.col(k) * BLOCK + 1, F.lit(BLOCK))
+    blocks = F.sequence(F.lit(0), F.ceil(F.size("ids") / BLOCK).cast("int") - 1)
+    met = lists.withColumn("i", F.explode(blocks)).withColumn("j", F.explode(F.sequence("i", F.ceil(F.size("ids") / BLOCK).cast("int") - 1)))
+    met = met.select("member", "src", "i", "j", cut("i").alias("xs"), cut("j").alias("ys")).repartition("member", "i", "j")
+    return met.select("src", F.explode("xs").alias("x"), "ys", "i", "j").select("src", "x", F.explode("ys").alias("y"), "i", "j").filter((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).select("src", "x", "y")
+
+
 def classes(records: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """(src, id, class_id, n_links): each record once with its class (connected by links) and its text's links to other texts.
 
@@ -352,12 +371,14 @@ def classes(records: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame
     pairs = materialise(pairs.select("a", "b", (F.col("similarity") == 1).alias("same")), "member-pairs")
     edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same")).distinct()
     labels = materialise(edges.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")), "labels")
+    before = labels
     while True:
         near = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = step.select(F.col("v").alias("label"), F.col("label").alias("upper"))
         step = materialise(step.join(up, "label", "left").select("v", "old", F.least("label", F.coalesce("upper", "label")).alias("label")), "labels")
-        labels = step.select("v", "label")
+        discard(before)
+        labels, before = step.select("v", "label"), step
         if step.filter(F.col("old") != F.col("label")).isEmpty():
             break
     # equal sets are all linked with each other, so that the least neighbour of that kind is the same for all of them

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.llm.words import TAG, WORD, hash_batch, mix
-from deskmill.session import materialise
+from deskmill.session import discard, materialise
 
 FEATURES = "pair_id BIGINT, at STRING, defect STRING, openings ARRAY<STRING>, declines ARRAY<BOOLEAN>, echoes ARRAY<DOUBLE>, bare BOOLEAN, declined BOOLEAN, prompt BIGINT, topic BIGINT, tails ARRAY<BIGINT>, lang_differs BOOLEAN"
 OPENING_WORDS, MIN_PROMPTS = 12, 3
@@ -424,12 +424,14 @@ def _clustered(kinds: DataFrame) -> DataFrame:
     edges = edges.filter(F.col("node") != F.col("other")).distinct()
     edges = materialise(edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))), "opening-links")
     labels = materialise(edges.select("node").distinct().withColumn("cluster", F.col("node")), "opening-labels")
+    before = labels
     while True:
         near = edges.join(labels.select(F.col("node").alias("other"), F.col("cluster").alias("near")).hint("merge"), "other").groupBy("node").agg(F.min("near").alias("near"))
         step = labels.join(near.hint("merge"), "node").select("node", F.col("cluster").alias("old"), F.least("cluster", "near").alias("cluster"))
         up = step.select(F.col("node").alias("cluster"), F.col("cluster").alias("upper"))
         step = materialise(step.join(up.hint("merge"), "cluster", "left").select("node", "old", F.least("cluster", F.coalesce("upper", "cluster")).alias("cluster")), "opening-labels")
-        labels = step.select("node", "cluster")
+        discard(before)
+        labels, before = step.select("node", "cluster"), step
         if step.filter(F.col("old") != F.col("cluster")).isEmpty():
             break
     return kinds.join(labels.withColumnRenamed("cluster", "least").hint("merge"), "node", "left").withColumn("cluster", F.coalesce("least", "node")).drop("least", "node")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -76,3 +77,39 @@ def test_links_of_a_text_in_several_members(spark, monkeypatch):
     rows += [("page", 200, " ".join(base[1:51])), ("page", 201, " ".join(base[2:52]))]
     got = {r.id: (r.class_id, r.n_links) for r in neardup.classes(spark.createDataFrame(rows, "src STRING, id BIGINT, text STRING")).collect()}
     assert {got[i] for i in range(40)} == {(0, 0)} and {got[i] for i in range(100, 140)} == {(100, 2)} and got[200] == got[201] == (100, 2)
+
+
+def test_saturated_sketches_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BITS", 5)
+    monkeypatch.setattr(neardup, "INDEX_BITS", 5)
+    rows = made(9)
+    df = spark.createDataFrame(rows, "src STRING, id BIGINT, text STRING").repartition(3)
+    assert {tuple(r) for r in neardup.record_pairs(df, 3, 0.5).collect()} == brute(rows, 3, 0.5)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 200])
+def test_classes_by_brute_force_for_any_partitioning(spark, parts):
+    rows = made(11)
+    pairs, seen = brute(rows, 3, 0.5), {(s, i): t for s, i, t in rows if i is not None}
+    words = lambda key: frozenset(zip(*[(w := re.findall(r"[^\W_]+", (seen[key] or "").lower()))[n:] for n in range(3)]))
+    links: dict = {}
+    for s, a, b in pairs:
+        x, y = words((s, a)), words((s, b))
+        if x != y:
+            links.setdefault((s, a), set()).add(y)
+            links.setdefault((s, b), set()).add(x)
+    near: dict = {}
+    for s, a, b in pairs:
+        near.setdefault((s, a), set()).add((s, b))
+        near.setdefault((s, b), set()).add((s, a))
+    df = spark.createDataFrame(rows, "src STRING, id BIGINT, text STRING").repartition(parts)
+    got = {(r.src, r.id): (r.class_id, r.n_links) for r in neardup.classes(df, 3, 0.5).collect()}
+    assert {k: len(links.get(k, ())) for k in got} == {k: n for k, (_, n) in got.items()}
+    for key in got:
+        todo, reach = [key], {key}
+        while todo:
+            for other in near.get(todo.pop(), ()):
+                if other not in reach:
+                    reach.add(other)
+                    todo.append(other)
+        assert got[key][0] == min(i for _, i in reach)
