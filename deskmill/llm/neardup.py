@@ -65,7 +65,8 @@ def token_sets(texts: list[str | None], k: int, salt: int) -> tuple[np.ndarray,
     mixed = W.mix(hashes, k, salt) >> np.uint64(24)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))[: len(mixed)]
     inside = np.arange(len(mixed)) + k <= at[doc + 1] if len(mixed) else np.empty(0, dtype=bool)
-    both = np.unique((doc[inside].astype(np.uint64) << _TOKEN_BITS) | mixed[inside])
+    both = np.sort((doc[inside].astype(np.uint64) << _TOKEN_BITS) | mixed[inside])
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
     offsets = np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << _TOKEN_BITS)
     return both & np.uint64((1 << 40) - 1), offsets
 
@@ -159,7 +160,9 @@ def _counted(groups: DataFrame, pick, bits: int, depth: int = 1) -> np.ndarray:
         for batch in batches:
             tokens = pick(batch)
             for row in range(depth):
-                at, n = np.unique(_slots(tokens, bits, row), return_counts=True)
+                slots = np.sort(_slots(tokens, bits, row))
+                first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else slots
+                at, n = slots[first], np.diff(np.append(first, len(slots)))
                 total[row, at] = np.minimum(total[row, at].astype(np.int64) + n, 65_535)
         lane = TaskContext.get().partitionId() >> 5
         for part, piece in enumerate(total.reshape(depth * PARTS, step)):
@@ -178,10 +181,8 @@ def _counted(groups: DataFrame, pick, bits: int, depth: int = 1) -> np.ndarray:
     for _ in range(2):
         lanes = lanes.groupBy("part", "lane").applyInPandas(add, kind)
     out = np.zeros((depth * PARTS, step), dtype=np.uint8)
-    # what reaches the driver has its full, fixed size at any number of texts
-    plain = lanes.groupBy("part").applyInPandas(lambda pdf: add(pdf).assign(codes=lambda x: [zlib.decompress(b) for b in x["codes"]]), kind)
-    for row in plain.collect():
-        out[row.part] = np.frombuffer(row.codes, np.uint8)
+    for row in lanes.groupBy("part").applyInPandas(add, kind).collect():
+        out[row.part] = np.frombuffer(zlib.decompress(row.codes), np.uint8)
     return out.reshape(depth, 1 << bits)
 
 
@@ -207,16 +208,26 @@ def _value(codes: np.ndarray) -> np.ndarray:
 
 def _prefixes(batch: pd.DataFrame, codes: np.ndarray, threshold: float):
     """(token, group row, member size, tokens from here on, in the index prefix) of each probe prefix token worth a row."""
+    parts = [_prefixes_of(batch.iloc[a : a + SLICE], codes, threshold, a) for a in range(0, len(batch), SLICE)]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+
+
+#: Groups handled at a time: their members are numbered in 16 bits beside a count and a token.
+SLICE = (1 << 16) // 32
+
+
+def _prefixes_of(batch: pd.DataFrame, codes: np.ndarray, threshold: float, first: int):
     tokens, member, sizes, rows = _members(batch)
-    df = _held(codes, tokens)
-    order = np.lexsort((tokens, df, member))
-    tokens, df = tokens[order], df[order]
+    # one sort by member, then from rare to frequent, then by token
+    key = np.sort((member.astype(np.uint64) << np.uint64(48)) | (_held(codes, tokens).astype(np.uint64) << _TOKEN_BITS) | tokens)
+    tokens, df, member = key & np.uint64((1 << 40) - 1), (key >> _TOKEN_BITS).astype(np.uint8), (key >> np.uint64(48)).astype(np.int64)
     n = sizes[member]
     rank = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     probe = n - np.ceil(threshold * n - 1e-9) + SHARED
     index = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + SHARED
     keep = (rank < probe) & (df > 1)
-    return tokens[keep], rows[member[keep]], n[keep], (n - rank)[keep], (rank < index)[keep]
+    member, n = member[keep], n[keep]
+    return tokens[keep], rows[member] + first, n, n - rank[keep], (rank < index)[keep]
 
 
 def _matrix(groups: DataFrame, codes, indexed, threshold: float) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import xxhash
 
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")
@@ -18,6 +18,19 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
 
+class _Hashes(dict):
+    """Hash of each word a worker has met lately."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_HASHES = _Hashes()
+#: Words whose hashes a worker keeps, about 150 bytes each.
+KEPT_WORDS = 300_000
+
+
 def words(text: str | None, fold_yo: bool = False, drop_tags: bool = False) -> list[str]:
     if not text:
         return []
@@ -34,7 +47,9 @@ def hash_batch(token_lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     flat = [w for t in token_lists for w in t]
     if not flat:
         return np.empty(0, dtype=np.uint64), offsets
-    return pd.util.hash_array(np.array(flat, dtype=object), categorize=True).astype(np.uint64), offsets
+    if len(_HASHES) > KEPT_WORDS:
+        _HASHES.clear()
+    return np.fromiter(map(_HASHES.__getitem__, flat), dtype=np.uint64, count=len(flat)), offsets
 
 
 def mix(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
