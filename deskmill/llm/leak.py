@@ -4,15 +4,15 @@ A passage counts as leaked when ``window`` consecutive words of an item's questi
 without other words between them; case, punctuation, spacing, markup and ё/е are no matter.
 
 1. *Index.* The items are a stated query set. They are taken in blocks of bounded size, so that what is sent to the
-   executors has a proven bound; every shingle (``k`` words) of every item and its place goes into the index.
+   executors has a proven bound (items and characters); every shingle (``k`` words) of every item and its place goes into the index.
 2. *Scan.* One pass over the corpus yields, for each text, the places where indexed shingles stand (texts shorter than
    the window, items shorter than the window and all other shingles fall away here). Only these rows go on.
 3. *Prefix.* Document frequencies over the whole corpus order the shingles by rarity. A window holds
    ``window - k + 1`` shingles and needs all of them, so its rarest one is a necessary prefix: of each window only that
    shingle opens candidates, and a text that lacks it is never looked at again for that window.
-4. *Bounds and verification.* Candidates are (text, item, place difference); a candidate needs at least
-   ``window - k + 1`` hits on its diagonal within the item's length, and runs of consecutive hits are then counted
-   exactly.
+4. *Bounds and verification.* Candidates are (text, item, place difference). Only they are expanded, to the places of
+   their item within its length; those where the text has the same shingle are kept, by text and place, so that a shingle
+   met everywhere is no hot key. A candidate needs ``window - k + 1`` of them in a row; runs are counted exactly.
 
 Defined cases: null, blank and short texts or questions give nothing; a text leaks an item once, however often it
 repeats it; repeated items and repeated rows give one row each key; a null key is kept as a key; other columns are not
@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 from deskmill.llm import words as W
 from deskmill.session import materialise
 
+BLOCK_CHARS = 8_000_000
 HITS = "doc_id BIGINT, shingle BIGINT, pos INT"
 
 
@@ -79,9 +80,11 @@ def _block(docs: DataFrame, items: list[tuple], window: int, k: int) -> DataFram
     prefix = windows.filter(F.col("n") >= need).select("item_id", F.col("best.shingle").alias("shingle"), F.col("best.item_pos").alias("item_pos")).distinct()
     candidates = hits.join(prefix, "shingle").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
 
-    # all hits on a candidate's diagonal; runs of neighbours are islands of pos - row_number
-    on = hits.join(places, "shingle").select("doc_id", "item_id", "pos", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    kept = on.join(candidates, [on.doc_id.eqNullSafe(candidates.doc_id), on.item_id.eqNullSafe(candidates.item_id), on.diagonal == candidates.diagonal], "left_semi")
+    # the places of a candidate's item, where its text has the same shingle on the diagonal; runs of neighbours are islands of pos - row_number
+    of = candidates.withColumnRenamed("item_id", "of_item")
+    due = of.join(places, F.col("of_item").eqNullSafe(F.col("item_id"))).select("doc_id", "item_id", "diagonal", "shingle", (F.col("diagonal") + F.col("item_pos")).alias("pos"))
+    same = [due.doc_id.eqNullSafe(hits.doc_id), due.pos == hits.pos, due.shingle == hits.shingle]
+    kept = due.join(hits, same, "left_semi").select("doc_id", "item_id", "diagonal", "pos").distinct()
     line = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("pos")
     islands = kept.withColumn("island", F.col("pos") - F.row_number().over(line))
     runs = islands.groupBy("doc_id", "item_id", "diagonal", "island").agg(F.count("*").alias("n")).filter(F.col("n") >= need)
@@ -91,24 +94,29 @@ def _block(docs: DataFrame, items: list[tuple], window: int, k: int) -> DataFram
 def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "question", window: int = 13, k: int = 5, block: int = 5000) -> DataFrame:
     """(doc_id, item_id, words): affected texts, the item leaked and the length of its longest passage in words.
 
-    ``block``: items held by the driver and each executor at a time; further items are handled in further passes.
+    ``block``: items held by the driver and each executor at a time, of ``BLOCK_CHARS`` characters together at most (one
+    longer item is a block of its own); further items are handled in further passes.
     """
     spark = docs.sparkSession
     corpus = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     keyed = items.select(F.col(item_col).alias("item_id"), F.col(question_col).alias("question")).filter(F.length("question") >= 2 * window - 1)
-    parts, low, out = 0, None, None
     ordered = keyed.withColumn("_key", F.struct(F.col("item_id").cast("bigint"), F.xxhash64("question")))
+    as_key = lambda k: F.struct(*(F.lit(x).cast("bigint") for x in k))
+    parts, low, out = 0, None, None
     while True:
-        page = ordered if low is None else ordered.filter(F.col("_key") > low)
-        rows = page.orderBy("_key").limit(block).collect()
-        if not rows:
+        page = ordered if low is None else ordered.filter(F.col("_key") > as_key(low))
+        sizes = page.select("_key", F.length("question").alias("chars")).distinct().orderBy("_key").limit(block).collect()
+        if not sizes:
             break
+        fits = max(1, int(np.searchsorted(np.cumsum([r.chars for r in sizes]), BLOCK_CHARS, side="right")))
+        low = sizes[min(fits, len(sizes)) - 1]["_key"]
+        rows = page.filter(F.col("_key") <= as_key(low)).select("item_id", "question").distinct().collect()
         found = _block(corpus, [(r.item_id, r.question) for r in rows], window, k)
         if found is not None:
             out = found if out is None else out.unionByName(found)
-        if len(rows) < block:
+            parts += 1
+        if fits >= len(sizes) < block:
             break
-        low, parts = F.struct(*(F.lit(x).cast("bigint") for x in rows[-1]["_key"])), parts + 1
     if out is None:
         return spark.createDataFrame([], "doc_id BIGINT, item_id BIGINT, words INT")
-    return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words")) if parts else out
+    return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words")) if parts > 1 else out

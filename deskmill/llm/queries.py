@@ -113,8 +113,8 @@ SQL = {
         WHERE length(r.page_content) > l.max_chars
     """,
     "p8_found": r"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-             e AS (SELECT item_id, regexp_extract_all(replace(lower(question), 'ё', 'е'), '[\p{L}\p{N}]+') AS w FROM eval_items),
+        WITH d AS (SELECT doc_id, regexp_extract_all(replace(lower(regexp_replace(text, '</?[A-Za-z][A-Za-z0-9]*(\s[^<>]*)?/?>', ' ', 'g')), 'ё', 'е'), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+             e AS (SELECT item_id, regexp_extract_all(replace(lower(regexp_replace(question, '</?[A-Za-z][A-Za-z0-9]*(\s[^<>]*)?/?>', ' ', 'g')), 'ё', 'е'), '[\p{L}\p{N}]+') AS w FROM eval_items),
              dg AS (SELECT DISTINCT doc_id, w[p:p + 12] AS g FROM d, unnest(range(1, len(w) - 11)) AS t(p) WHERE len(w) >= 13),
              eg AS (SELECT DISTINCT item_id, w[p:p + 12] AS g FROM e, unnest(range(1, len(w) - 11)) AS t(p) WHERE len(w) >= 13)
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)

@@ -25,8 +25,9 @@ def run(spark, docs, items, **kw):
     return {(r.doc_id, r.item_id) for r in rows}
 
 
-@pytest.mark.parametrize("block", [5000, 7])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, chars", [(5000, 8_000_000), (7, 8_000_000), (5000, 300), (5000, 1)])
+def test_against_brute_force(spark, monkeypatch, block, chars):
+    monkeypatch.setattr(leak, "BLOCK_CHARS", chars)
     rnd = random.Random(5)
     vocab = [f"w{i}" for i in range(12)]
     items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(5, 40)))) for i in range(30)]
