@@ -5,9 +5,9 @@ messages from their divider or header block on, signatures from their closing fo
 disclaimers and automatic footers. Lines written between quoted ones stay. Work is per row and needs no shuffle.
 
 Defined cases: null and blank texts have no marked line and an empty or null new text; lines are counted from 0 and end
-at "\\n", a "\\r" before it is no content; blank lines are never marked; a prefix such as ``>`` counts as quotation only
-below an attribution line and with the prefix that its quotation uses, so that comparisons, shell prompts and table
-bars in new text stay; a single header-like line ("From: 4 to 20 mA") is text; a text of nothing but quotation leaves
+at "\\n", a "\\r" before it is no content; blank lines are never marked; a prefix such as ``>`` counts as quotation
+below an attribution line and with the prefix that its quotation uses, or where two or more lines in a row have ``>``,
+so that comparisons, shell prompts and table bars in new text stay; a single header-like line ("From: 4 to 20 mA") is text; a text of nothing but quotation leaves
 an empty new text; a row delivered several times is reported once.
 """
 
@@ -25,6 +25,7 @@ MARKED = "id BIGINT, line_no BIGINT, reason STRING"
 
 _TAG = re.compile(r"<(?:/?[A-Za-z][^<>]*|!--[^<>]*--)>")
 _PREFIX = re.compile(r"\s*(>+|»+|\|)(?!=)")
+_BARE_PREFIX = re.compile(r"\s*>(?:>|\s*$|[ \t]+\S(?!.*[|<=>]))")
 _NOT_QUOTED = re.compile(r"\s*>\s*(?:=|[-+]?\d+(?:[.,]\d+)?\s*(?:°|%|[A-Za-zА-я]{1,4}\b)|(?:show|ping|cd|ls|get|set|dir|telnet|ssh)\b)")
 
 _DATE = r"(?:\d{1,4}[./-]\d{1,2}(?:[./-]\d{2,4})?|\d{1,2}\.?\s+[^\W\d]{3,10}\.?|[^\W\d]{3,10}\s+\d{1,2}(?:,|\s)\s*\d{4}|\d{1,2}:\d{2})"
@@ -106,11 +107,25 @@ def _signature(seen: list[str], marks: list[str], low: int, high: int) -> int:
     # a closing formula alone on its line begins a signature even where something unknown follows it
     rest = [i for i in range(low, high) if seen[i] and not marks[i]]
     for n, i in enumerate(rest):
-        if n and _CLOSING.fullmatch(seen[i]) and len(rest) - n <= 12:
+        if n and _CLOSING.fullmatch(seen[i]):
             return i
     return high
 
 
+def _bare_quotation(lines: list[str]) -> set[int]:
+    """Lines of quotations without an attribution line: two or more lines in a row that begin with ``>`` and a blank or a further ``>``, none of them a comparison, a prompt or a row of a table."""
+    out: set[int] = set()
+    run: list[int] = []
+    for i, line in enumerate([*lines, ""]):
+        if line.lstrip().startswith(">") and _BARE_PREFIX.match(line) and not _NOT_QUOTED.match(line):
+            run.append(i)
+            continue
+        if len(run) > 1:
+            out.update(run)
+        run = []
+    return out
+
+
 def mark_lines(text: str | None) -> list[str]:
     """For each line its reason not to count as new, '' for new and for blank lines."""
     if not text:
@@ -123,7 +138,7 @@ def mark_lines(text: str | None) -> list[str]:
     following = [n] * (n + 1)
     for i in range(n - 1, -1, -1):
         following[i] = i if solid[i] else following[i + 1]
-    prefix, quote, box, end = "", 0, 0, n
+    prefix, quote, box, end, bare = "", 0, 0, n, _bare_quotation(lines)
     i = 0
     while i < n:
         raw, v = lines[i], seen[i]
@@ -157,7 +172,7 @@ def mark_lines(text: str | None) -> list[str]:
             end = i
             break
         m = _PREFIX.match(raw)
-        if m and prefix and m[1][0] == prefix and not (prefix == ">" and _NOT_QUOTED.match(raw)):
+        if i in bare or m and prefix and m[1][0] == prefix and not (prefix == ">" and _NOT_QUOTED.match(raw)):
             marks[i] = "quote"
         elif v[-1:] == ":" and (_ATTRIBUTION.match(v) or (_TIMED.match(v) and "<blockquote" in nxt.lower())):
             marks[i] = "attribution"

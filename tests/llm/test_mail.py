@@ -40,3 +40,17 @@ def test_tables(spark):
     assert sorted((r.id, r.line_no, r.reason) for r in mail.marked_lines(df, "k", "t").collect()) == [(1, 2, "attribution"), (1, 3, "quote")]
     assert {(r.id, r.new_text) for r in mail.reduced(df, "k", "t", "at").collect()} == {(1, "new"), (2, None), (None, "> x"), (3, "")}
     assert mail.marked_lines(df.limit(0), "k", "t").count() == 0
+
+
+def test_quotation_without_attribution():
+    marked = lambda text: [i for i, m in enumerate(mail.mark_lines(text)) if m]
+    assert marked("Согласен.\n> Порт 5 закрыт\n> с утра\nОткройте его.") == [1, 2]
+    assert marked("ok\n>> old\n>> older\n> old again\nnew") == [1, 2, 3]
+    assert marked("Порог:\n> 5 В\n> 7 В\n> show log\n> ping host") == []
+    assert marked("a\n> one line only\nb") == []
+    assert marked("a\n> x | y\n> 1 | 2\nb") == []
+
+
+def test_long_signature():
+    lines = ["Pump 4 is fine.", "Best regards,", *[f"line {i} of many words that say where the office is, and when it is open." for i in range(14)]]
+    assert [i for i, m in enumerate(mail.mark_lines("\n".join(lines))) if m] == list(range(1, 16))
