@@ -3,7 +3,8 @@
 A pushdown automaton runs over the marks of a text only (terminators, quotation marks, brackets, line starts), not over
 its letters: blank lines end every unit, heading lines and list items are units of their own, open quotations and
 brackets are kept on a stack and hold back every terminator inside, and a full stop is judged by a trie of
-abbreviations read backwards from the stop and by the word that follows. Scripts have their own terminators; Thai,
+abbreviations read backwards from the stop and by the word that follows. Open lists are kept on a stack of their own by
+indent and mark. Scripts have their own terminators; Thai,
 which has none, ends a sentence at a space between two Thai words. What comes out are offsets in code points.
 
 Defined cases: null and blank texts have no units; the unit's last character is its last non-blank one, closing marks
@@ -14,6 +15,7 @@ one unit per paragraph; repeated rows give repeated units; further columns are n
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -51,7 +53,7 @@ _MONTHS = re.compile(r"(?:Jan|Feb|Mär|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez)")
 
 _BLOCK = re.compile(r"\n[^\S\n]*(?:\n\s*)")
 _SKIP = "﻿​⁠‍️"
-_MARKER = re.compile(rf"[\s{_SKIP}]*(?:(?P<bullet>[-•*–—▪◦·])|(?P<number>\d{{1,2}})[.)]|(?P<letter>[a-zа-я])\))[^\S\n]+(?=\S)")
+_MARKER = re.compile(rf"[\s{_SKIP}]*(?:(?P<bullet>[-•*–—▪◦·])|(?P<number>\d{{1,9}}(?:\.\d{{1,3}})*)[.)]|(?P<letter>[a-zа-я])\))[^\S\n]+(?=\S)")
 _HEADING = re.compile(rf"[\s{_SKIP}]*#{{1,6}}[^\S\n]+\S")
 _THAI_GAP = r"(?<=[ก-๛])\s+(?:[^\w\s฀-๿]+\s+)?(?=[ก-๛])"
 _EVENT = re.compile(rf"(?P<stop>[.!?…。！？।॥؟۔｡]+)|(?P<open>[«„「『【（(\[])|(?P<close>[»」』】）)\]])|(?P<quote>[\"“”])|(?P<gap>{_THAI_GAP})")
@@ -138,24 +140,27 @@ def _segment(text: str, start: int, end: int, out: list[int]) -> None:
     events = [(m.start(), m.end(), m.lastgroup) for m in _EVENT.finditer(text, start, end)]
     partner: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    held: Counter = Counter()  # marks on the stack, so that one without partner is known without a walk
     for a, _, kind in events:
+        ch = text[a]
         if kind == "open":
-            stack.append((text[a], a))
+            stack.append((ch, a))
+            held[ch] += 1
         elif kind == "close" or kind == "quote":
-            ch = text[a]
             if kind == "close":
                 wanted = (_OPEN_OF[ch],)
             else:
                 wanted = ('"',) if ch == '"' else ("„", "“") if ch == "“" else ("“", "„", "”")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in wanted:
-                    partner[stack[k][1]] = a
-                    partner[a] = stack[k][1]
-                    del stack[k:]
-                    break
-            else:
-                if kind == "quote":
-                    stack.append((ch, a))
+            if any(held[w] for w in wanted):
+                while True:
+                    mark, place = stack.pop()
+                    held[mark] -= 1
+                    if mark in wanted:
+                        partner[place], partner[a] = a, place
+                        break
+            elif kind == "quote":
+                stack.append((ch, a))
+                held[ch] += 1
     depth, low = 0, start
     for n, (a, b, kind) in enumerate(events):
         if kind in ("open", "close", "quote"):
@@ -181,6 +186,49 @@ def _segment(text: str, start: int, end: int, out: list[int]) -> None:
         out.append(end)
 
 
+def _mark_of(k: re.Match) -> tuple[int, str, list[int]]:
+    """(indent, kind, number) of a line's list mark."""
+    indent = len(k[0]) - len(k[0].lstrip())
+    if k["number"]:
+        return indent, "number", [int(x) for x in k["number"].split(".")]
+    return indent, k["bullet"] or "letter", [ord(k["letter"])] if k["letter"] else []
+
+
+def _is_item(text: str, k: re.Match, b: int, stop: int, levels: list, listing: bool, segments: list) -> bool:
+    """Whether a marked line is a list item; ``levels``, the stack of open lists, is moved to its list.
+
+    An item goes on with an open list of its indent and mark, opens one inside the item before it, or opens one where a
+    list may begin: at the head of a block, with a first number, with a sign that is nothing else, or as the first of
+    two lines with the same mark below a line that ends in a colon.
+    """
+    indent, kind, number = _mark_of(k)
+    inside = bool(segments) and segments[-1][2] == "item"
+    far = kind == "number" and (len(number) > 1 or number[0] > 99)
+    while levels and levels[-1][0] > indent:
+        levels.pop()
+    if levels and levels[-1][:2] == (indent, kind):
+        before = levels[-1][2]
+        if not far or number[:-1] == before[:-1] and number[-1] == before[-1] + 1 or number[:-1] == before:
+            levels[-1] = (indent, kind, number)
+            return True
+        return False
+    if far:
+        opens = inside and len(number) > 1 and number[-1] == 1 and bool(levels) and (number[:-1] == levels[-1][2] or levels[-1][1] != "number")
+    else:
+        opens = listing or inside or number == [1] or kind in ("•", "▪", "◦") or _run_below_colon(text, k, b, stop, segments)
+    if opens:
+        levels.append((indent, kind, number))
+    return opens
+
+
+def _run_below_colon(text: str, k: re.Match, b: int, stop: int, segments: list) -> bool:
+    if not segments or not text[segments[-1][0] : segments[-1][1]].rstrip().endswith(":"):
+        return False
+    end = text.find("\n", b + 1, stop)
+    after = _MARKER.match(text, b + 1, stop if end < 0 else end) if b < stop else None
+    return after is not None and _mark_of(after)[:2] == _mark_of(k)[:2]
+
+
 def unit_ends(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each unit; kind is heading, item or sentence."""
     units: list[tuple[int, int, str]] = []
@@ -191,13 +239,14 @@ def unit_ends(text: str) -> list[tuple[int, int, str]]:
         # lines of the block, joined to segments
         segments: list[list] = []
         a, listing = at, True
+        levels: list[tuple[int, str, list[int]]] = []  # the open lists, outermost first: indent, kind of mark, last number
         while a < stop:
             b = text.find("\n", a, stop)
             b = stop if b < 0 else b
             if _HEADING.match(text, a, b):
                 segments.append([a, b, "heading", a])
-                listing = True
-            elif (k := _MARKER.match(text, a, b)) and (listing or (segments and segments[-1][2] == "item") or k["number"] == "1" or (k["bullet"] in ("•", "▪", "◦"))):
+                listing, levels = True, []
+            elif (k := _MARKER.match(text, a, b)) and _is_item(text, k, b, stop, levels, listing, segments):
                 segments.append([a, b, "item", k.end()])
                 listing = False
             elif segments and segments[-1][2] != "heading":

@@ -55,3 +55,28 @@ def test_table(spark):
     rows = sorted(((r.doc_id, r.unit_no, r.end_pos) for r in sentences(df, "k", "t").collect()), key=str)
     assert rows == sorted([(1, 0, 3), (1, 1, 8)] * 2 + [(None, 0, 1)], key=str)
     assert sentences(df.limit(0), "k", "t").count() == 0
+
+
+def _units(text):
+    return [text[a:b] for a, b, _ in unit_ends(text)]
+
+
+def test_list_levels():
+    assert _units("1. Item one\n  1.1. Sub item.\n  1.2. Other\n2. Next") == ["1. Item one", "1.1. Sub item.", "1.2. Other", "2. Next"]
+    assert _units("98. a\n99. b\n100. c\n101. d") == ["98. a", "99. b", "100. c", "101. d"]
+    assert _units("- outer\n  - nested a\n  - nested b\n- outer b") == ["- outer", "- nested a", "- nested b", "- outer b"]
+    assert _units("Нужны:\n- насос\n- кабель") == ["Нужны:", "- насос", "- кабель"]
+    assert _units("Давление выросло до\n1024. Затем упало.") == ["Давление выросло до\n1024.", "Затем упало."]
+    assert _units("Он сказал\n- один раз - и ушёл.") == ["Он сказал\n- один раз - и ушёл."]
+
+
+def test_marks_without_partner_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        text = "(" * n + "«" * n + "]" * n + "” a. " * n
+        began = time.perf_counter()
+        assert unit_ends(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0]
