@@ -1,13 +1,18 @@
 """Deeply nested ticket payloads to flat, linked tables.
 
 One pass: every payload is parsed once and a depth-first visitor emits rows tagged with their table, their own key,
-the key of the node that holds them and their payload. :func:`write_tagged` stores the stream partitioned by tag, and
-:func:`apply_schema` gives each table its typed columns. Nothing is shuffled and no group is gathered.
+the key of the node that holds them and their payload. :func:`tables` stores the stream once, partitioned by tag, and
+reads each table from its own part with its typed columns. Nothing is shuffled and no group is gathered.
+
+Keys: (``file_id``, ``ord``) is a node's own key, ``ord`` its place in the walk of its file; (``file_id``,
+``parent_ord``) is its parent's, null below the root. They hold where ids of the source are missing or repeated; the
+ids are kept beside them as ``node_id`` and ``parent_id``.
 
 Defined cases: a null, blank or non-JSON payload gives no rows; leading byte-order marks and blanks are skipped; an
 array may also stand as null, as an object wrapping ``items``, as a single object, as a map of objects or as a string
 holding JSON; entries that are not objects are skipped, an empty object standing for a list is an empty list; an
-object without id has a null ``node_id``; repeated ids give repeated rows; nesting of any depth is followed.
+object without id has a null ``node_id`` and so have its children a null ``parent_id``, while their ``parent_ord`` is
+set; repeated ids give rows that ``ord`` tells apart; nesting of any depth is followed.
 """
 
 from __future__ import annotations
@@ -21,7 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "file_id BIGINT, kind STRING, node_id STRING, parent_id STRING, depth INT, ord BIGINT, payload STRING"
+from deskmill.session import materialise
+
+NODE_SCHEMA = "file_id BIGINT, kind STRING, node_id STRING, parent_id STRING, depth INT, ord BIGINT, parent_ord BIGINT, payload STRING"
 
 #: Typed columns of each table, as paths into the emitted payload.
 TABLE_SCHEMAS = {
@@ -122,22 +129,23 @@ def id_text(value) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
-def visit(text: str | None) -> Iterator[tuple[str, str | None, str | None, int, dict]]:
-    """(kind, node_id, parent_id, depth, own fields) of each node, depth first, without recursion."""
+def visit(text: str | None) -> Iterator[tuple[str, str | None, str | None, int, int, int | None, dict]]:
+    """(kind, node_id, parent_id, depth, ord, parent_ord, own fields) of each node, depth first, without recursion."""
     ticket = parse_payload(text)
     ticket = ticket.get("result") if isinstance(ticket, dict) else None
     if isinstance(ticket, list):
         ticket = ticket[0] if ticket else None
     if not isinstance(ticket, dict):
         return
-    stack = [("comment", "root", 0, x) for x in reversed(as_objects(ticket.get("comments_list")))]
+    stack = [("comment", "root", None, 0, x) for x in reversed(as_objects(ticket.get("comments_list")))]
+    at = -1
     while stack:
-        kind, parent, depth, node = stack.pop()
-        own = id_text(node.get("id"))
-        yield kind, own, parent, depth, {k: v for k, v in node.items() if k not in ("replies", "attachments")}
+        kind, parent, above, depth, node = stack.pop()
+        own, at = id_text(node.get("id")), at + 1
+        yield kind, own, parent, depth, at, above, {k: v for k, v in node.items() if k not in ("replies", "attachments")}
         if kind != "attachment":
-            stack += [("reply", own, depth + 1, x) for x in reversed(as_objects(node.get("replies")))]
-            stack += [("attachment", own, depth + 1, x) for x in reversed(as_objects(node.get("attachments")))]
+            stack += [("reply", own, at, depth + 1, x) for x in reversed(as_objects(node.get("replies")))]
+            stack += [("attachment", own, at, depth + 1, x) for x in reversed(as_objects(node.get("attachments")))]
 
 
 def flatten(files: DataFrame, id_col: str = "file_id", payload_col: str = "payload", with_payload: bool = True) -> DataFrame:
@@ -147,23 +155,25 @@ def flatten(files: DataFrame, id_col: str = "file_id", payload_col: str = "paylo
         for batch in batches:
             out: list[tuple] = []
             for file_id, text in zip(batch["file_id"], batch["payload"]):
-                for n, (kind, own, parent, depth, fields) in enumerate(visit(text)):
-                    out.append((file_id, kind, own, parent, depth, n, json.dumps(fields, ensure_ascii=False) if with_payload else None))
-            yield pd.DataFrame(out, columns=["file_id", "kind", "node_id", "parent_id", "depth", "ord", "payload"])
+                for *keys, fields in visit(text):
+                    out.append((file_id, *keys, json.dumps(fields, ensure_ascii=False) if with_payload else None))
+            frame = pd.DataFrame(out, columns=["file_id", "kind", "node_id", "parent_id", "depth", "ord", "parent_ord", "payload"])
+            yield frame.astype({"parent_ord": "Int64"})
 
     return files.select(F.col(id_col).alias("file_id"), F.col(payload_col).alias("payload")).mapInPandas(emit, NODE_SCHEMA)
 
 
-def write_tagged(nodes: DataFrame, path: str) -> None:
-    """One folder per table tag, so that a reader of one table never opens the others."""
-    nodes.write.partitionBy("kind").parquet(path)
+def tables(files: DataFrame, id_col: str = "file_id", payload_col: str = "payload") -> dict[str, DataFrame]:
+    """The typed table of each tag, all from one written stream with one folder per tag, so that a reader of one table never opens the others."""
+    stream = materialise(flatten(files, id_col, payload_col), "nodes", by="kind")
+    return {kind: apply_schema(stream, kind) for kind in TABLE_SCHEMAS}
 
 
 def apply_schema(nodes: DataFrame, kind: str) -> DataFrame:
     """The typed table of one tag. Fields of changing type are read as a variant, so a cast that fails gives null."""
     v = F.try_parse_json("payload")
     base = nodes.filter(F.col("kind") == kind)
-    keys = ["file_id", "node_id", "parent_id", "depth", "ord"]
+    keys = ["file_id", "node_id", "parent_id", "depth", "ord", "parent_ord"]
     if kind == "attachment":
         return base.select(
             *keys,

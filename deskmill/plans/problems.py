@@ -14,15 +14,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.apply_schema(nested.flatten(table(spark, sf_dir, "ticket_files")), "comment")
+    return nested.tables(table(spark, sf_dir, "ticket_files"))["comment"]
 
 
 def p6_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.apply_schema(nested.flatten(table(spark, sf_dir, "ticket_files")), "reply")
+    return nested.tables(table(spark, sf_dir, "ticket_files"))["reply"]
 
 
 def p6_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.apply_schema(nested.flatten(table(spark, sf_dir, "ticket_files")), "attachment")
+    return nested.tables(table(spark, sf_dir, "ticket_files"))["attachment"]
 
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_comments, p6_replies, p6_attachments)}

@@ -53,15 +53,24 @@ def test_flat_parser_agrees():
         raise AssertionError(text)
 
 
-def test_typed_tables_and_roundtrip(spark, tmp_path):
+def test_typed_tables_and_roundtrip(spark):
     payload = ticket([{"id": 1, "text": {"text": None, "html": "<b>h</b>"}, "cmf_owner_id": {"id": "u-1"}, "replies": [{"id": "2", "text": "t", "cmf_owner_id": "u-2", "attachments": {"id": "a", "name": "f", "size": 5, "meta": {"mime": "m", "pages": [{"id": 0}]}}}]}])
-    nodes = nested.flatten(spark.createDataFrame([(1, payload)], "file_id BIGINT, payload STRING"))
-    nested.write_tagged(nodes, str(tmp_path / "t"))
-    back = spark.read.parquet(str(tmp_path / "t"))
-    c, r, a = (nested.apply_schema(back, k).collect() for k in ("comment", "reply", "attachment"))
+    tables = nested.tables(spark.createDataFrame([(1, payload)], "file_id BIGINT, payload STRING"))
+    c, r, a = (tables[k].collect() for k in ("comment", "reply", "attachment"))
+    assert [(x[0].ord, x[0].parent_ord) for x in (c, r, a)] == [(0, None), (1, 0), (2, 1)]
     assert (c[0].body, c[0].cmf_owner_id, r[0].body, r[0].cmf_owner_id, r[0].parent_id) == ("<b>h</b>", "u-1", "t", "u-2", "1")
     assert (a[0].name, a[0].size, a[0].mime, a[0].pages, a[0].parent_id) == ("f", "5", "m", 1, "2")
 
 
 def test_empty_table(spark):
     assert rows(spark, []) == []
+
+
+def test_keys_hold_where_ids_are_missing_or_repeated(spark):
+    payload = ticket([{"replies": [{"id": 1, "attachments": [{"name": "a"}]}]}, {"replies": [{"id": 1, "attachments": [{"name": "b"}, {"name": "c"}]}]}])
+    tables = nested.tables(spark.createDataFrame([(1, payload), (2, payload)], "file_id BIGINT, payload STRING"))
+    reply, comment = (tables[k].select("file_id", "ord", "parent_ord").collect() for k in ("reply", "comment"))
+    up = {(r.file_id, r.ord): r.parent_ord for r in reply}
+    roots = {(r.file_id, r.ord): n for n, r in enumerate(sorted(comment))}
+    got = sorted((r.file_id, r.name, roots[r.file_id, up[r.file_id, r.parent_ord]] % 2) for r in tables["attachment"].collect())
+    assert got == [(1, "a", 0), (1, "b", 1), (1, "c", 1), (2, "a", 0), (2, "b", 1), (2, "c", 1)]
