@@ -18,8 +18,10 @@ from pyspark.sql.window import Window
 from deskmill.config import BM25_B, BM25_K1, RRF_K, RetrievalProfile
 from deskmill.functions import text as T
 from deskmill.functions import vectors as V
-from deskmill.models import lexical_coverage
+from deskmill.models import Reranker, hypothetical, lexical_coverage
+from deskmill.models import rerank as score_with
 from deskmill.operators.common import top_k
+from deskmill.session import materialise
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None, k1: float = BM25_K1, b: float = BM25_B, block: int = 1024) -> DataFrame:
@@ -148,11 +150,6 @@ def _dense_block(corpus: DataFrame, ids: list[int], vectors: np.ndarray, k: int)
     return corpus.select("doc_id", "embedding").mapInPandas(run, "query_id BIGINT, doc_id BIGINT, score DOUBLE")
 
 
-def dense_expression(corpus: DataFrame, query: list[float]) -> DataFrame:
-    """Scores of a single query vector as an expression."""
-    return corpus.select("doc_id", F.round(V.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])), 6).alias("score"))
-
-
 def fuse(lists: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (query_id, doc_id, rank) lists; a list without the row adds nothing."""
     rows = lists[0].select("query_id", "doc_id", "rank")
@@ -167,11 +164,15 @@ def equipment_filter(corpus: DataFrame, column: str, wanted: list | None, everyt
     return corpus if not wanted or everything in wanted else corpus.filter(F.col(column).isin(*wanted))
 
 
-def rerank_lexical(hits: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Hits (query_id, db_source, doc_id, rank) with ``rerank``: coverage of the original query by the hit's text."""
-    q = queries.select("query_id", T.tokens("text").alias("_q"))
-    t = corpus.select("doc_id", T.tokens("text").alias("_t"))
-    return hits.join(q, "query_id").join(t, "doc_id").withColumn("rerank", F.round(lexical_coverage(F.col("_q"), F.col("_t")), 6)).drop("_q", "_t")
+def reranked(hits: DataFrame, queries: DataFrame, corpus: DataFrame, reranker: Reranker | None = None) -> DataFrame:
+    """Hits (query_id, db_source, doc_id, rank) with ``rerank``: the score of the hit's text for the original query.
+
+    Without a model the score is the coverage of the query's terms. Only the texts of hits are read further.
+    """
+    texts = corpus.select("doc_id", F.col("text").alias("_text")).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = hits.join(queries.select("query_id", F.col("text").alias("_query")), "query_id").join(texts, "doc_id")
+    score = lexical_coverage(T.tokens("_query"), T.tokens("_text")) if reranker is None else score_with(F.col("_query"), F.col("_text"), reranker)
+    return rows.withColumn("rerank", F.round(score, 6)).drop("_query", "_text")
 
 
 def best_children(hits: DataFrame, profile: RetrievalProfile) -> DataFrame:
@@ -219,13 +220,22 @@ def litm(found: DataFrame, keys: tuple[str, ...] = ("query_id",), pos: str = "po
     return found.withColumn("_n", n).withColumn(name, (F.when(2 * r < F.col("_n"), 2 * r).otherwise(2 * (F.col("_n") - 1 - r) + 1) + 1).cast("bigint")).drop("_n")
 
 
-def search_children(corpus: DataFrame, queries: DataFrame, profile: RetrievalProfile) -> DataFrame:
-    """Reranked hits of ``corpus`` (doc_id, parent_id, db_source, text) for ``queries`` (query_id, text), for each source by itself."""
-    hits = bm25(corpus, queries, profile.top_k_retrieval, "db_source")
-    ids = corpus.select("doc_id", "parent_id")
+def search_children(corpus: DataFrame, queries: DataFrame, profile: RetrievalProfile, reranker: Reranker | None = None, generated: DataFrame | None = None) -> DataFrame:
+    """Reranked hits of ``corpus`` (doc_id, parent_id, db_source, text) for ``queries`` (query_id, text), for each source by itself.
+
+    ``generated`` (query_id, passage): hypothetical answers, searched in place of queries where they are long enough;
+    hits are reranked for the original query. The hits, at most a profile's number of each query and source, are written
+    once, so that the corpus is scanned once more for their texts only.
+    """
+    asked = queries
+    if generated is not None:
+        text, _ = hypothetical(F.col("text"), F.col("passage"))
+        asked = queries.join(generated, "query_id", "left").select("query_id", text.alias("text"))
+    hits = bm25(corpus, asked, profile.top_k_retrieval, "db_source")
     if profile.rerank:
-        hits = rerank_lexical(hits, queries, corpus)
-    return hits.join(ids, "doc_id")
+        hits = materialise(hits, "hits")
+        hits = reranked(hits, queries, corpus, reranker)
+    return hits.join(corpus.select("doc_id", "parent_id"), "doc_id")
 
 
 def keep_source(found: DataFrame, source: str, most: int | None = None) -> DataFrame:

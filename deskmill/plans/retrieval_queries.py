@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskmill.config import Budgets, profile
-from deskmill.operators import chunking, context
+from deskmill.models import ExtractiveGenerator
+from deskmill.operators import answers, chunking, context
 from deskmill.operators import retrieve as R
 from deskmill.plans.text_queries import RAG, rag, trim_sql
 from deskmill.session import materialise, table
@@ -34,19 +35,23 @@ def _items(spark, d):
     return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
 
 
+#: More than the chunks that any string can be cut into, so that chunk ids never clash.
+CHUNKS = 1 << 23
+
+
 def _children(spark, d) -> DataFrame:
     """(doc_id, parent_id, db_source, text); a chunk's id is its parent's id and number."""
     pages = rag(spark, d)
     source = pages.select(F.col("parent_id").alias("doc_id"), F.when(F.col("source_type") == "support_tickets", "tickets").otherwise("docs").alias("db_source"))
     chunks = chunking.fixed(pages, "parent_id", "page_content").join(source, "doc_id")
-    return chunks.select((F.col("doc_id") * 1000 + F.col("ord")).alias("doc_id"), F.col("doc_id").alias("parent_id"), "db_source", "text")
+    return chunks.select((F.col("doc_id") * CHUNKS + F.col("ord")).alias("doc_id"), F.col("doc_id").alias("parent_id"), "db_source", "text")
 
 
-def _bm25_sql(corpus: str, group: str, k: int) -> str:
+def _bm25_sql(corpus: str, group: str, k: int, asked: str = "question") -> str:
     g, on = (f"{group}, ", f"USING ({group}, term)") if group else ("", "USING (term)")
     sizes = f"sizes AS (SELECT {g}count(*) AS n_docs, avg(dl) AS avgdl FROM d {f'GROUP BY {group}' if group else ''})"
     return rf"""
-    q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(question, '')), '[\p{{L}}\p{{N}}_]{{3,}}'))) AS term FROM eval_items),
+    q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(coalesce({asked}, '')), '[\p{{L}}\p{{N}}_]{{3,}}'))) AS term FROM eval_items),
     d AS (SELECT doc_id, {g}regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{3,}}') AS terms, len(terms) AS dl FROM {corpus}),
     {sizes},
     tf AS (SELECT doc_id, {g}dl, term, count(*) AS tf FROM (SELECT doc_id, {g}dl, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
@@ -56,9 +61,15 @@ def _bm25_sql(corpus: str, group: str, k: int) -> str:
 
 
 _CHILDREN = f"""pages AS (SELECT * FROM {RAG}),
-    children AS (SELECT parent_id * 1000 + p // 350 AS doc_id, parent_id, CASE WHEN source_type = 'support_tickets' THEN 'tickets' ELSE 'docs' END AS db_source, substring(page_content, p + 1, 400) AS text
+    children AS (SELECT parent_id * {CHUNKS} + p // 350 AS doc_id, parent_id, CASE WHEN source_type = 'support_tickets' THEN 'tickets' ELSE 'docs' END AS db_source, substring(page_content, p + 1, 400) AS text
                  FROM pages, unnest(range(0, greatest(length(page_content) - 51, 0) + 1, 350)) AS t(p) WHERE length(page_content) > 0)"""
-_HITS = _CHILDREN + "," + _bm25_sql("children", "db_source", 24) + r""",
+
+
+def _hits_sql(k: int, asked: str = "question") -> str:
+    return _CHILDREN + "," + _bm25_sql("children", "db_source", k, asked)
+
+
+_RERANKED = r""",
     reranked AS (SELECT b.query_id, b.db_source, b.doc_id, b.rank, c.parent_id, round(CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, ct))::DOUBLE / len(qt) ELSE 0 END, 6) AS rerank
                  FROM bm b JOIN (SELECT doc_id, parent_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{3,}') AS ct FROM children) c USING (doc_id)
                  JOIN (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(coalesce(question, '')), '[\p{L}\p{N}_]{3,}')) AS qt FROM eval_items) q USING (query_id)),
@@ -67,14 +78,53 @@ _HITS = _CHILDREN + "," + _bm25_sql("children", "db_source", 24) + r""",
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, db_source ORDER BY score DESC, ord) AS pos FROM found)"""
 
 
-def _hits(spark, d) -> DataFrame:
+_HITS = _hits_sql(24) + _RERANKED
+
+
+def _hits(spark, d, profile=DEEP, **models) -> DataFrame:
     """Reranked children of both sources; the children are written once, since three steps read them."""
-    return R.search_children(materialise(_children(spark, d), "children"), _items(spark, d), DEEP)
+    return R.search_children(materialise(_children(spark, d), "children"), _items(spark, d), profile, **models)
 
 
 def _placed(spark, d) -> DataFrame:
     best = R.best_children(_hits(spark, d), DEEP)
-    return R.final_order(R.parents_of(best, rag(spark, d)), ("query_id", "db_source"))
+    return R.final_order(R.parents_of(best, table(spark, d, "rag_docs")), ("query_id", "db_source"))
+
+
+@query(f"WITH {_hits_sql(16)} SELECT query_id, db_source, doc_id, CAST(rank AS BIGINT) AS ord FROM bm WHERE rank <= 3")
+def fast_profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile without reranking: the first children in search order."""
+    return R.best_children(_hits(spark, sf_dir, profile("fast")), profile("fast")).select("query_id", "db_source", "doc_id", "ord")
+
+
+@query(f"WITH {_hits_sql(30)}{_RERANKED.replace('ord <= 4', 'ord <= 3')} SELECT query_id, db_source, doc_id, rerank, CAST(ord AS BIGINT) AS ord FROM best")
+def default_profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.best_children(_hits(spark, sf_dir, profile("default")), profile("default")).select("query_id", "db_source", "doc_id", "rerank", "ord")
+
+
+_PASSAGE = "CASE WHEN length(question || ' ' || correct_answer) >= 50 THEN question || ' ' || correct_answer ELSE question END"
+
+
+@query(f"WITH {_hits_sql(24, _PASSAGE)}{_RERANKED} SELECT query_id, db_source, doc_id, rerank, CAST(ord AS BIGINT) AS ord FROM best")
+def hypothetical_answer_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searched by a hypothetical answer (here the item's own one behind its question), reranked for the question alone."""
+    passages = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), F.concat("question", F.lit(" "), "correct_answer").alias("passage"))
+    return R.best_children(_hits(spark, sf_dir, generated=passages), DEEP).select("query_id", "db_source", "doc_id", "rerank", "ord")
+
+
+class LengthReranker:
+    """A model in form only: the closeness of lengths, in code points."""
+
+    def score(self, queries: list[str], texts: list[str]) -> list[float]:
+        return [1.0 / (1 + abs(len(q or "") - len(t or ""))) for q, t in zip(queries, texts)]
+
+
+@query(f"""WITH {_hits_sql(24)},
+    scored_by_length AS (SELECT b.query_id, b.db_source, b.doc_id, b.rank, round(1.0::DOUBLE / (1 + abs(length(e.question) - length(c.text))), 6) AS rerank FROM bm b JOIN children c USING (doc_id) JOIN eval_items e ON e.item_id = b.query_id)
+    SELECT * FROM (SELECT query_id, db_source, doc_id, rerank, row_number() OVER (PARTITION BY query_id, db_source ORDER BY rerank DESC, rank) AS ord FROM scored_by_length WHERE rerank >= 0.05) WHERE ord <= 4""")
+def model_reranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with a reranker model plugged in."""
+    return R.best_children(_hits(spark, sf_dir, reranker=LengthReranker()), DEEP).select("query_id", "db_source", "doc_id", "rerank", "ord")
 
 
 @query(f"WITH {_bm25_sql('documents', '', 10)} SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM bm")
@@ -131,7 +181,7 @@ _POOLED = _HITS + """,
 
 @query(f"WITH {_POOLED} SELECT query_id, db_source, parent_id, score, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN 2 * (pos - 1) < n THEN 2 * (pos - 1) ELSE 2 * (n - pos) + 1 END + 1 AS BIGINT) AS litm_pos FROM pplaced")
 def pooled_weighted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.final_order(R.parents_of(R.pooled(_hits(spark, sf_dir), DEEP), rag(spark, sf_dir)))
+    found = R.final_order(R.parents_of(R.pooled(_hits(spark, sf_dir), DEEP), table(spark, sf_dir, "rag_docs")))
     return R.litm(found).select("query_id", "db_source", "parent_id", "score", "pos", "litm_pos")
 
 
@@ -162,9 +212,9 @@ _REFS = f"""refs AS (SELECT query_id, db_source, CASE db_source WHEN 'docs' THEN
 
 def _meta(spark, d) -> DataFrame:
     roots = spark.createDataFrame([("product_html", "https://docs.example/p"), ("library_html", "https://docs.example/l")], "source_type STRING, root STRING")
-    pages = rag(spark, d).join(roots, "source_type", "left").withColumn("direct", F.lit("")).withColumn("ticket_id", F.lit(None).cast("string"))
+    placed = materialise(_placed(spark, d).filter((F.col("db_source") == "docs") | (F.col("pos") <= BUDGETS.max_tickets)), "placed")
+    pages = rag(spark, d, placed.select("parent_id").distinct()).join(roots, "source_type", "left").withColumn("direct", F.lit("")).withColumn("ticket_id", F.lit(None).cast("string"))
     pages = pages.withColumn("url", context.source_url("direct", "source_file", "root"))
-    placed = _placed(spark, d).filter((F.col("db_source") == "docs") | (F.col("pos") <= BUDGETS.max_tickets))
     return placed.select("query_id", "db_source", "parent_id", "pos", "score").join(pages, "parent_id")
 
 
@@ -204,8 +254,35 @@ _TICKET_BLOCK = f"""'[TICKET | id: ' || {_unknown('source_file')} || ' | file: '
     FROM eval_items e LEFT JOIN dc ON dc.query_id = item_id LEFT JOIN tc ON tc.query_id = item_id""")
 def support_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: both sources searched, reranked, joined to parents and laid out within their budgets."""
-    meta = materialise(_meta(spark, sf_dir), "found")
+    return _contexts(spark, sf_dir, materialise(_meta(spark, sf_dir), "found")).drop("text")
+
+
+def _contexts(spark, d, meta: DataFrame) -> DataFrame:
     docs = context.context_of_pages(meta.filter(F.col("db_source") == "docs"), BUDGETS).withColumnRenamed("context", "docs_context")
     tickets = context.context_of_tickets(meta.filter(F.col("db_source") == "tickets"), BUDGETS).withColumnRenamed("context", "tickets_context")
-    out = _items(spark, sf_dir).select("query_id").join(docs, "query_id", "left").join(tickets, "query_id", "left")
-    return out.select("query_id", F.coalesce("docs_context", F.lit("")).alias("docs_context"), F.coalesce("tickets_context", F.lit("")).alias("tickets_context"))
+    out = _items(spark, d).join(docs, "query_id", "left").join(tickets, "query_id", "left")
+    return out.select("query_id", "text", F.coalesce("docs_context", F.lit("")).alias("docs_context"), F.coalesce("tickets_context", F.lit("")).alias("tickets_context"))
+
+
+def _answers(spark, d) -> DataFrame:
+    meta = materialise(_meta(spark, d), "found")
+    return answers.answered(_contexts(spark, d, meta), _references(meta), ExtractiveGenerator())
+
+
+_ANSWERED = f"""{_META}, {_REFS},
+         dc AS (SELECT query_id, {trim_sql(f'string_agg({_PAGE_BLOCK}, chr(10) || chr(10) ORDER BY pos)', 5200)} AS c FROM meta WHERE db_source = 'docs' GROUP BY 1),
+         said AS (SELECT item_id AS query_id, question, regexp_replace(split_part(coalesce(c, ''), chr(10), 1), '^\\s+|\\s+$', '', 'g') AS line FROM eval_items LEFT JOIN dc ON dc.query_id = item_id),
+         n AS (SELECT query_id, count(*) FILTER (db_source = 'docs') AS n_docs, count(*) FILTER (db_source = 'tickets') AS n_tickets FROM refs GROUP BY 1)"""
+
+
+@query(f"""WITH {_ANSWERED} SELECT query_id, true AS ok, line AS docs_answer, CASE WHEN line <> '' THEN 'high' ELSE 'low' END AS confidence, CAST(coalesce(n_docs, 0) AS BIGINT) AS n_doc_sources, CAST(coalesce(n_tickets, 0) AS BIGINT) AS n_ticket_sources
+    FROM said LEFT JOIN n USING (query_id)""")
+def answered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, context, generator, structured answer and its sources replaced by the references, for every item."""
+    size = lambda c: F.size(c).cast("bigint")
+    return _answers(spark, sf_dir).select("query_id", "ok", "docs_answer", "confidence", size("doc_sources").alias("n_doc_sources"), size("ticket_sources").alias("n_ticket_sources"))
+
+
+@query(f"""WITH {_ANSWERED} SELECT query_id, question AS query, CAST(coalesce(n_docs, 0) + coalesce(n_tickets, 0) AS INTEGER) AS n_docs_retrieved, 'question' AS user_intent, CAST(NULL AS VARCHAR) AS error FROM said LEFT JOIN n USING (query_id)""")
+def answer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.audit_rows(_answers(spark, sf_dir)).select("query_id", "query", "n_docs_retrieved", "user_intent", "error")

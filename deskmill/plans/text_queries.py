@@ -40,8 +40,10 @@ def trim_sql(x: str, most: int) -> str:
     return f"CASE WHEN length({x}) <= {most} THEN {x} ELSE CASE WHEN length({lines}) > 0 THEN {lines} ELSE {strip_sql(head)} END || {mark} END"
 
 
-def rag(spark, d):
-    return latest(table(spark, d, "rag_docs"), "parent_id", "ingested_at")
+def rag(spark, d, only=None):
+    """The last delivery of each page; of the pages in ``only`` (parent_id) where given, chosen before any text moves."""
+    pages = table(spark, d, "rag_docs")
+    return latest(pages if only is None else pages.join(only, "parent_id", "left_semi"), "parent_id", "ingested_at")
 
 
 def comments(spark, d):
