@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.config import COMPLETENESS
+from deskmill.session import materialise
 
 
 def ingestible(files: DataFrame, name: str = "name") -> DataFrame:
@@ -47,3 +50,36 @@ def completeness(expected: DataFrame, actual: DataFrame, least: float = COMPLETE
     m = actual.agg(F.count("*").alias("n_actual"))
     # two single rows side by side
     return n.join(m, F.lit(True)).withColumn("complete", F.col("n_actual") >= F.col("n_expected") * least)
+
+
+REGISTRY = "source_type STRING, path STRING, hash STRING, parent_ids ARRAY<STRING>"
+
+
+def run(files: DataFrame, store: str, registry: str, parse: Callable[[DataFrame], DataFrame], schema: str, complete: bool = True) -> DataFrame:
+    """One incremental ingest: (state, n) of the files seen.
+
+    ``files``: source_type, path, hash and content; ``parse`` makes parents (``schema``, with parent_id, source_type and
+    path) of them. Parents of changed and, if the listing is ``complete``, of deleted files leave the store, those of new
+    and changed ones enter; the same files again change nothing. Store and registry are written as new versions, the
+    store first: a run that breaks off between them leaves the old registry, and the next one repeats it.
+    """
+    from deskmill.sources.files import latest_version
+
+    spark = files.sparkSession
+    before, n = latest_version(spark, store, schema)
+    known, m = latest_version(spark, registry, REGISTRY)
+    changes = diff(files, known)
+    if not complete:
+        changes = changes.withColumn("state", F.when(F.col("state") == "deleted", "same").otherwise(F.col("state"))).withColumn("hash", F.coalesce("hash", "old_hash"))
+    changes = materialise(changes, "changes")
+    counts = changes.groupBy("state").agg(F.count("*").alias("n"))
+    if not changes.filter("state <> 'same'").isEmpty():
+        due = changes.filter(F.col("state").isin("new", "changed")).select("source_type", "path")
+        # files of a run that broke off may be in the store without being known
+        fresh = parse(files.join(due, ["source_type", "path"], "left_semi"))
+        gone = changes.filter("state <> 'same'").withColumn("state", F.lit("changed"))
+        after = replaced(before, gone, fresh.select(before.columns))
+        after.write.mode("overwrite").parquet(f"{store}/v{n + 1}")
+        written, _ = latest_version(spark, store, schema)
+        updated_registry(changes, written).write.mode("overwrite").parquet(f"{registry}/v{m + 1}")
+    return counts

@@ -17,12 +17,16 @@ def pattern_for(source_type: str) -> str:
     return "*.json" if source_type == "support_tickets" else "*.{html,htm}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def scan(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
     """(source_type, path, name, content, hash) of all files below each source type's folder; a missing folder gives nothing."""
     out = None
     for kind, folder in folders.items():
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if not exists(spark, folder):
             continue
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern_for(kind)).load(folder)
         rows = files.select(F.lit(kind).alias("source_type"), "path", F.url_decode(F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"\+", "%2B")).alias("name"), "content")
@@ -70,17 +74,36 @@ def write_partitions(df: DataFrame, path: str, by: str = "source_type") -> None:
 
 
 def append_missing(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends rows whose key the store lacks, so that a repeated run adds nothing; returns what was missing."""
-    spark = df.sparkSession
-    try:
-        have = spark.read.parquet(path).select(key)
-    except Exception:  # noqa: BLE001  the store doesn't exist yet
-        have = df.select(key).limit(0)
-    missing = df.join(have, key, "left_anti")
+    """Appends rows whose key the store lacks, so that a repeated run adds nothing; returns what was missing. A store that can't be read is an error, only one that isn't there is empty."""
+    missing = df.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti") if exists(df.sparkSession, path) else df
     missing.write.mode("append").parquet(path)
     return missing
 
 
+def latest_version(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, int]:
+    """(rows of the newest whole version below ``path``, its number); no rows and 0 where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(at)] if fs.exists(at) else []
+    whole = [int(p.getName()[1:]) for p in found if p.getName()[:1] == "v" and p.getName()[1:].isdigit() and exists(spark, f"{path}/{p.getName()}/_SUCCESS")]
+    if not whole:
+        return spark.createDataFrame([], schema), 0
+    return spark.read.schema(schema).parquet(f"{path}/v{max(whole)}"), max(whole)
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Audit rows as JSON lines behind those that are there."""
+    rows.write.mode("append").json(path)
+
+
+def audit_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(records of an audit log, its bad lines with file, line number from 1 and text). Each file is read whole, for its line numbers."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    read = texts.filter(T.present("line")).select("file", (F.col("at") + 1).cast("bigint").alias("line_no"), "line", F.from_json("line", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    good = read.filter(F.col("r._bad").isNull())
+    return good.select("file", "line_no", "r.*").drop("_bad"), read.filter(F.col("r._bad").isNotNull()).select("file", "line_no", "line")
+
+
 def write_report(judged: DataFrame, path: str) -> None:
     """All judged rows and the ones not right as JSON, the statistics as ``;`` CSV."""
     from deskmill.operators.evaluate import NO, ERROR, statistics

@@ -2,20 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from deskmill.operators import chunking
-from deskmill.sources.files import append_missing
+from deskmill.session import discard, materialise
+from deskmill.sources.files import exists, write_partitions
 
 
-def ingest(documents: DataFrame, store: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text") -> StreamingQuery:
-    """Chunks of arriving (id, text) rows appended to ``store``. A batch that is run again adds nothing: chunks are known by id."""
+#: Parts of a chunk store; a batch rewrites only those of its changed documents.
+BUCKETS = 64
+STORED = "doc_id BIGINT, ord BIGINT, text STRING, bucket INT"
+
+
+def upsert(batch: DataFrame, store: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, buckets: int = BUCKETS) -> None:
+    """Chunks of the batch's documents in place of their older ones; a null or empty text removes a document's chunks.
+
+    Of several rows of a document the last one by ``order_col`` counts, else any one. Each document has one further row
+    (``ord`` -1) with the hash of its text, by which unchanged documents are left alone and removed ones stay known. A
+    batch that is run again changes nothing.
+    """
+    spark = batch.sparkSession
+    rows = batch.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(order_col or id_col).alias("_at"))
+    last = rows.groupBy("doc_id").agg(F.max_by(F.struct("text"), F.struct("_at", F.struct("text"))).alias("_t")).select("doc_id", "_t.text")
+    marks = last.select("doc_id", F.lit(-1).cast("bigint").alias("ord"), F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
+    if exists(spark, store):
+        have = spark.read.schema(STORED).parquet(store)
+        known = have.filter("ord = -1")
+        due = materialise(marks.select("*", bucket).join(known.select("doc_id", "text"), ["doc_id", "text"], "left_anti"), "due")
+        touched = F.col("bucket").isin([r.bucket for r in due.select("bucket").distinct().collect()])  # at most ``buckets`` numbers
+        kept = have.filter(touched).join(due.select("doc_id"), "doc_id", "left_anti")
+    else:
+        due = materialise(marks.select("*", bucket), "due")
+        kept = spark.createDataFrame([], STORED)
+    fresh = chunking.fixed(last.join(due.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text").select("doc_id", "ord", "text", bucket)
+    # written beside the store first, since the parts it replaces are read
+    after = materialise(kept.select("doc_id", "ord", "text", "bucket").unionByName(fresh).unionByName(due.select("doc_id", "ord", "text", "bucket")), "chunks")
+    write_partitions(after, store, "bucket")
+    discard(after)
+    discard(due)
+
+
+def stored_chunks(spark: SparkSession, store: str) -> DataFrame:
+    """(doc_id, ord, text) of a store."""
+    return spark.read.schema(STORED).parquet(store).filter("ord >= 0").select("doc_id", "ord", "text")
+
+
+def ingest(documents: DataFrame, store: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> StreamingQuery:
+    """Chunks of arriving, changed and removed documents kept in ``store``, see :func:`upsert`."""
 
     def write(batch: DataFrame, _: int) -> None:
-        chunks = chunking.fixed(batch.dropDuplicates([id_col]), id_col, text_col)
-        append_missing(chunks.withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("ord").cast("string"))), store, "chunk_id")
+        upsert(batch, store, id_col, text_col, order_col)
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

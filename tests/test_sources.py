@@ -100,14 +100,64 @@ def test_csv_json_and_sinks(spark, tmp_path):
     assert {(r.k, r.source_type) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {(9, "a"), (2, "b")}
 
 
-def test_stream_ingest_is_idempotent(spark, tmp_path):
+def test_stream_ingest_replaces_and_removes(spark, tmp_path):
     src, store = str(tmp_path / "in"), str(tmp_path / "store")
-    spark.createDataFrame([(1, "x" * 500), (2, None)], "doc_id BIGINT, text STRING").coalesce(1).write.parquet(src)
-    read = lambda: spark.readStream.schema("doc_id BIGINT, text STRING").parquet(src)
-    stream.ingest(read(), store, str(tmp_path / "c1")).awaitTermination(60)
-    assert spark.read.parquet(store).count() == 2
-    stream.ingest(read(), store, str(tmp_path / "c2")).awaitTermination(60)
-    assert spark.read.parquet(store).count() == 2
+    write = lambda rows: spark.createDataFrame(rows, "doc_id BIGINT, text STRING, at INT, ord STRING").coalesce(1).write.mode("append").parquet(src)
+    read = lambda: spark.readStream.schema("doc_id BIGINT, text STRING, at INT").parquet(src)
+    go = lambda c: stream.ingest(read(), store, str(tmp_path / c), order_col="at").awaitTermination(90)
+    have = lambda: sorted((r.doc_id, r.ord, len(r.text)) for r in stream.stored_chunks(spark, store).collect())
+    write([(1, "x" * 500, 1, "a"), (2, None, 1, "a"), (3, "old", 1, "a")])
+    go("c1")
+    assert have() == [(1, 0, 400), (1, 1, 150), (3, 0, 3)]
+    write([(1, "y" * 10, 2, "a"), (1, "z" * 9, 3, "a"), (3, None, 2, "a"), (4, "new", 2, "a")])
+    go("c1")
+    assert have() == [(1, 0, 9), (4, 0, 3)]
+    go("c2")  # everything once more, in one batch
+    assert have() == [(1, 0, 9), (4, 0, 3)]
+
+
+def test_ingest_run(spark, tmp_path):
+    from deskmill.operators import ingest
+
+    store, registry, schema = str(tmp_path / "store"), str(tmp_path / "reg"), "parent_id STRING, source_type STRING, path STRING, body STRING"
+
+    def parse(files):
+        return files.select(ingest.parent_id("source_type", "path", "ord").alias("parent_id"), "source_type", "path", F.col("content").alias("body"))
+
+    def go(rows, **more):
+        files = ingest.hashed(spark.createDataFrame(rows, "source_type STRING, path STRING, content STRING, ord INT"))
+        return {r.state: r.n for r in ingest.run(files, store, registry, parse, schema, **more).collect()}
+
+    def have():
+        return sorted((r.path, r.body) for r in files.latest_version(spark, store, schema)[0].collect())
+
+    assert go([("d", "a", "1", 0), ("d", "b", "1", 0)]) == {"new": 2}
+    assert go([("d", "a", "1", 0), ("d", "b", "1", 0)]) == {"same": 2} and files.latest_version(spark, store, schema)[1] == 1
+    assert go([("d", "a", "2", 0), ("d", "c", "1", 0)]) == {"changed": 1, "deleted": 1, "new": 1} and have() == [("a", "2"), ("c", "1")]
+    assert go([("d", "e", "1", 0)], complete=False) == {"new": 1, "same": 2} and have() == [("a", "2"), ("c", "1"), ("e", "1")]
+    known = {r.path: r.parent_ids for r in files.latest_version(spark, registry, ingest.REGISTRY)[0].collect()}
+    assert set(known) == {"a", "c", "e"} and all(len(x) == 1 for x in known.values())
+    assert go([]) == {"deleted": 3} and have() == []
+
+
+def test_unreadable_store_is_an_error(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        files.append_missing(spark.createDataFrame([(1,)], "k INT"), str(tmp_path / "s"), "k")
+
+
+def test_audit_log(spark, tmp_path):
+    from deskmill.operators.answers import AUDIT
+
+    log = str(tmp_path / "audit")
+    rows = spark.createDataFrame([(1, "q", 0)], "query_id BIGINT, query STRING, n_docs_retrieved INT")
+    files.append_audit(rows, log)
+    files.append_audit(rows, log)
+    (tmp_path / "audit" / "z.json").write_text('{"query_id": 7}\n\nbroken {\n{"query_id": 8}\n')
+    good, bad = files.audit_records(spark, log, AUDIT)
+    assert sorted(r.query_id for r in good.collect()) == [1, 1, 7, 8]
+    assert [(r.file, r.line_no, r.line) for r in bad.collect()] == [("z.json", 3, "broken {")]
 
 
 def test_audit_windows(spark, tmp_path):
