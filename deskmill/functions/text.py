@@ -32,6 +32,7 @@ ERROR_MARKERS = ("ОШИБКА:", "ERROR:", "Error code:", "Rate limit", "Failed
 # fixed values: words that carry no topic in technical documentation
 STOP_WORDS = tuple("в на с и по для к о от до или как при это что за из то если не а так же все мы быть раздел заголовок таблица рисунок значение данных модуль контроллер работа система устройство параметр настройка".split())
 
+# fixed values: what counts as a person's full name, a mail address and a phone number, since the masked text must be the same
 NOISE = "(?iu)^(?:" + "|".join(NOISE_PREFIXES) + "|Создано$)"
 FULL_NAME = r"(^|[^\p{L}\p{N}_])[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?\s+[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+(?:вич|вна)([^\p{L}\p{N}_]|$)"
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -100,16 +101,25 @@ def guard_monster(c: Column | str, most: int = 6000) -> Column:
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most // 2)), F.lit(MONSTER_MARK), F.right(c, F.lit(most // 2)))).otherwise(c)
 
 
+# fixed values: an option mark such as "- а)" at a line's start, and the signs that don't count in an answer
+OPTION_MARK = r"\s*[-•]?\s*[а-яa-z]\)"
+ANSWER_SIGNS = r"[«»\"'`.,;:!?()\[\]{}]"
+# fixed values: how the names of function blocks are written
+BLOCK_NAMES = (r"(FB_[A-Z0-9_]+)", r"\|\s*([A-Z0-9_]+)\s*\|", r"([A-Z0-9_]+)\s*\|\s*[А-Я]")
+# fixed values: call-outs of the documentation
+CALL_OUT = r"(?imu)^(внимание|важно)!!!?"
+
+
 def normalize_answer(c: Column | str) -> Column:
     """Lower case, ё as е, without option marks, bullets and punctuation, single blanks."""
-    c = F.regexp_replace(F.translate(F.lower(F.coalesce(col(c), F.lit(""))), "\tё", " е"), r"(^|\n)\s*[-•]?\s*[а-яa-z]\)\s*", "$1")
+    c = F.regexp_replace(F.translate(F.lower(F.coalesce(col(c), F.lit(""))), "\tё", " е"), rf"(^|\n){OPTION_MARK}\s*", "$1")
     c = F.regexp_replace(F.regexp_replace(c, r"(?m)^[\s•-]+", ""), r"\s+", " ")
-    return F.trim(F.regexp_replace(c, r"[«»\"'`.,;:!?()\[\]{}]", ""))
+    return F.trim(F.regexp_replace(c, ANSWER_SIGNS, ""))
 
 
 def reference_parts(c: Column | str) -> Column:
     """The right answers of a reference that lists one on each line."""
-    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[ \t\r-]+|[ \t\r-]+$", ""), r"(?iu)^\s*[-•]?\s*[а-яa-z]\)\s*", "")
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[ \t\r-]+|[ \t\r-]+$", ""), rf"(?iu)^{OPTION_MARK}\s*", "")
     return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), "\n"), bare), lambda x: x != "")
 
 
@@ -138,13 +148,13 @@ def first_match(rules: list[tuple[Column, str]], default: str) -> Column:
 def function_blocks(c: Column | str) -> Column:
     """Sorted distinct names of function blocks, joined by ', '."""
     c = F.coalesce(col(c), F.lit(""))
-    found = F.concat(*[F.regexp_extract_all(c, F.lit(p), 1) for p in (r"(FB_[A-Z0-9_]+)", r"\|\s*([A-Z0-9_]+)\s*\|", r"([A-Z0-9_]+)\s*\|\s*[А-Я]")])
+    found = F.concat(*[F.regexp_extract_all(c, F.lit(p), 1) for p in BLOCK_NAMES])
     return F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 3) & x.rlike("[A-Z]")))), ", ")
 
 
 def callouts(c: Column | str) -> Column:
     """Attention lines and icon glyphs to warning markup; at most one blank line in a row."""
-    c = F.regexp_replace(col(c), r"(?imu)^(внимание|важно)!!!?", "> ⚠️ **$1:**")
+    c = F.regexp_replace(col(c), CALL_OUT, "> ⚠️ **$1:**")
     c = F.replace(F.replace(c, F.lit("\uf05a"), F.lit("> ℹ️ **ИНФОРМАЦИЯ:**\n> ")), F.lit("\uf071"), F.lit("> ⚠️ **ВНИМАНИЕ:**\n> "))
     return F.regexp_replace(c, r"\n{3,}", "\n\n")
 

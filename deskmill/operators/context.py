@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from deskmill.config import Budgets
 from deskmill.functions import text as T
 
+# fixed values: labels of the context, which prompts refer to
 NO_SOURCES = "Источники не найдены."
 
 
