@@ -53,6 +53,21 @@ def test_docx_sections():
     assert [(s["breadcrumb_raw"], s["page_content"]) for s in got] == [("Монтаж", "к" * 21), ("Монтаж > Питание", "к" * 21 + "\n- пункт"), ("Особая", "| a | b |\n|---|---|\n| c | d |")]
 
 
+def test_styles_of_a_source_type_and_cell_call_outs(spark):
+    data = docx([("Z", "Глава"), ("", "до"), ("1", "Раздел"), ("", "после")], [["Важно: стоп", "b"]])
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        parts = {n: z.read(n).decode() for n in z.namelist()}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, body in parts.items():
+            z.writestr(n, body.replace('w:val="Глава"', 'w:val="ps2_Заголовок 2"'))
+    rows = [(kind, "p", "f.docx", out.getvalue()) for kind in ("r500_docx", "other_docx")]
+    got = markup.documents(spark.createDataFrame(rows, "source_type STRING, path STRING, name STRING, content BINARY")).collect()
+    titles = lambda kind: [r.page_title for r in got if r.source_type == kind]
+    assert titles("r500_docx") == ["Глава", "Раздел"] and titles("other_docx") == ["f", "Раздел"]
+    assert any("| ⚠️ **Важно:** стоп | b |" in r.page_content for r in got)
+
+
 @pytest.mark.parametrize("n, carried", [(20, False), (21, True), (499, True), (500, False)])
 def test_section_overlap(n, carried):
     got = markup.sections([(1, "A"), (0, "y" * n), (1, "B"), (0, "z")], "f.docx")
