@@ -7,7 +7,7 @@ without other words between them; case, punctuation, spacing, markup and ё/е a
    executors has a proven bound (items and characters); every shingle (``k`` words) of every item and its place goes into the index.
 2. *Scan.* One pass over the corpus yields, for each text, the places where indexed shingles stand (texts shorter than
    the window, items shorter than the window and all other shingles fall away here). Only these rows go on.
-3. *Prefix.* Document frequencies over the whole corpus order the shingles by rarity. A window holds
+3. *Prefix.* Frequencies over the whole corpus order the shingles by rarity. A window holds
    ``window - k + 1`` shingles and needs all of them, so its rarest one is a necessary prefix: of each window only that
    shingle opens candidates, and a text that lacks it is never looked at again for that window.
 4. *Bounds and verification.* Candidates are (text, item, place difference). Only they are expanded, to the places of
@@ -73,7 +73,7 @@ def _block(docs: DataFrame, items: list[tuple], window: int, k: int) -> DataFram
     places = spark.createDataFrame(index, "item_id BIGINT, shingle BIGINT, item_pos INT")
 
     # rarity over all texts, then each window's necessary prefix
-    df = hits.groupBy("shingle").agg(F.countDistinct("doc_id", "pos").alias("df"))
+    df = hits.groupBy("shingle").agg(F.count("*").alias("df"))
     ranked = places.join(df, "shingle", "left").fillna(0, ["df"])
     ahead = Window.partitionBy("item_id").orderBy("item_pos").rangeBetween(0, need - 1)
     windows = ranked.withColumn("best", F.min(F.struct("df", "shingle", "item_pos")).over(ahead)).withColumn("n", F.size(F.collect_set("item_pos").over(ahead)))
@@ -83,8 +83,10 @@ def _block(docs: DataFrame, items: list[tuple], window: int, k: int) -> DataFram
     # the places of a candidate's item, where its text has the same shingle on the diagonal; runs of neighbours are islands of pos - row_number
     of = candidates.withColumnRenamed("item_id", "of_item")
     due = of.join(places, F.col("of_item").eqNullSafe(F.col("item_id"))).select("doc_id", "item_id", "diagonal", "shingle", (F.col("diagonal") + F.col("item_pos")).alias("pos"))
-    same = [due.doc_id.eqNullSafe(hits.doc_id), due.pos == hits.pos, due.shingle == hits.shingle]
-    kept = due.join(hits, same, "left_semi").select("doc_id", "item_id", "diagonal", "pos").distinct()
+    stands = hits.select(F.col("doc_id").alias("in_doc"), F.col("pos").alias("in_pos"), F.col("shingle").alias("in_shingle"))
+    same = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("pos") == F.col("in_pos")) & (F.col("shingle") == F.col("in_shingle"))
+    # an inner join, so that the smaller side may be the one that is sent: the due places, unless they are many
+    kept = due.join(stands, same).select("doc_id", "item_id", "diagonal", "pos").distinct()
     line = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("pos")
     islands = kept.withColumn("island", F.col("pos") - F.row_number().over(line))
     runs = islands.groupBy("doc_id", "item_id", "diagonal", "island").agg(F.count("*").alias("n")).filter(F.col("n") >= need)
