@@ -199,7 +199,7 @@ _ASKED = re.compile(
     r"(?P<name>[A-ZА-ЯЁ][a-zа-яё’'-]+[ \t]+[A-ZА-ЯЁ][a-zа-яё]*[’'-]?[A-ZА-ЯЁ]?[a-zа-яё]+(?![\w-]))"
 )
 #: A surname by its form, in any case, behind another capitalised word.
-_SURNAMED = re.compile(r"(?<![\w-])[А-ЯЁ][а-яё]+[ \t]+[А-ЯЁ][а-яё]+(?:(?:[оеё]в|[иы]н)(?:а|у|ой|ым|е)|(?:енко|швили)|(?:[оеё]в|[иы]н)|(?:ск|цк)(?:ий|ого|ому|им|ая|ую))(?![\w-])")
+_SURNAMED = re.compile(r"[А-ЯЁ][а-яё]+[ \t]+[А-ЯЁ][а-яё]+(?:(?:[оеё]в|[иы]н)(?:а|у|ой|ым|е)|(?:енко|швили)|(?:[оеё]в|[иы]н)|(?:ск|цк)(?:ий|ого|ому|им|ая|ую))(?![\w-])")
 _PATRONYMIC_ENDS = ("ович", "евич", "овна", "евна", "инична", "ьич", "итич", "итична")
 _INITIAL_CUE = re.compile(r"[A-ZА-ЯЁ]\.")
 _NO_NAME = frozenset("support team all colleagues sir madam desk helpdesk customer служба поддержка поддержки коллеги клиент клиенты техподдержка portal robot zusammen kollegen damen herren service office admin test".split())
@@ -364,7 +364,7 @@ def find(text: str | None, names: frozenset[str] | set[str] = frozenset()) -> li
     if rare or any(end in low for end in _PATRONYMIC_ENDS):
         found += [(*m.span(), "NAME") for m in _PATRONYMIC.finditer(plain)]
     if not low.isascii():
-        found += [(*m.span(), "NAME") for m in _SURNAMED.finditer(plain)]
+        found += [(*m.span(), "NAME") for m in _SURNAMED.finditer(plain) if not (before := plain[m.start() - 1 : m.start()]).isalnum() and before not in ("_", "-")]
     if _INITIAL_CUE.search(plain):
         found += [(*m.span(), "NAME") for m in _INITIALS.finditer(plain)]
     called: list[re.Match] = []
@@ -411,7 +411,7 @@ _TEACHING = (
     ("@", None, re.compile(rf"{_TWO}[\"»]?\s*(?:<|&lt;|\[mailto:)\s?[^\s<>@]+@")),
     (":", frozenset("wrote said пишет писал писала написал написала schrieb".split()), re.compile(rf"{_TWO}[ \t]+(?:wrote|said on|пишет|писал|написал|schrieb)")),
     ("\n", None, re.compile(
-        r"(?:[Сс] (?:уважением|наилучшими пожеланиями)|С ув\.|Всего доброго|[Rr]egards|[Ww]ishes|[Ss]incerely|[Cc]heers|BR|KR|MfG|VG|LG|Grüßen?|Gruß|--+|__+|—)[,.!]?"
+        r"(?:С уважением|с уважением|С наилучшими пожеланиями|с наилучшими пожеланиями|С ув\.|Всего доброго|Regards|regards|Wishes|wishes|Sincerely|sincerely|Cheers|cheers|BR|KR|MfG|VG|LG|Grüße|Grüßen|Gruß|--+|__+|—)[,.!]?"
         rf"[ \t]*\r?\n\s*(?:[>»|][ \t]*)?(?:<[^<>\n]*>\s*)*{_TWO}[ \t]*(?:<[^<>\n]*>)?\r?$", re.M)),
 )
 _CAPITAL = re.compile(r"(?<![^\W_])[A-ZА-ЯЁÄÖÜ][a-zа-яёäöüß’-]+(?![^\W_])")
